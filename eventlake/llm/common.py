@@ -48,8 +48,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads: file sizes for scans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of what df reads: file sizes for scans. Where it has none, 16 MB for each partition."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 58 else df.rdd.getNumPartitions() << 24
 
 
 def parts(df: DataFrame, each: int = 32 << 20) -> int:
@@ -172,11 +173,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def ids_unique(df: DataFrame) -> bool:
+    return not df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+
+
 def unique_ids(df: DataFrame) -> DataFrame:
     """df (doc_id, text) with a long `uid` that is unique and ascends with doc_id. Where doc_ids are unique, uid is doc_id.
     Otherwise rows are ranked by doc_id (null first), then text; rows alike in both share one uid."""
-    twice = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if not twice:
+    if ids_unique(df):
         return df.withColumn("uid", F.col("doc_id"))
     keys = df.select("doc_id", F.sha2("text", 256).alias("mark")).distinct()
     keys = written(keys.repartitionByRange(parts(df), F.col("doc_id").asc_nulls_first(), "mark").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "uids")
