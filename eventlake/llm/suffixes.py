@@ -87,7 +87,7 @@ def string_records(buf: np.ndarray, off: np.ndarray, uid: np.ndarray, judged: np
     """(g, c, uid, pos) of every string whose anchor is marked in `judged`, the table of hashed (uid, pos)."""
     hashes = Hashes(buf)
     at, row, _ = anchors(buf, off, hashes, length, gram)
-    hit = _bit(judged, uid[row], at - off[row])
+    hit = in_table(judged, uid[row], at - off[row])
     at, row = at[hit], row[hit]
     first, last = np.maximum(at - (length - gram), off[row]), np.minimum(at, off[row + 1] - length)
     edge = np.zeros(len(buf) + 1, np.int64)
@@ -104,7 +104,7 @@ def _place(uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (mixed(mixed(uid.astype(np.int64).view(np.uint64)) + pos.astype(np.uint64), 5) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _bit(table_: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def in_table(table_: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
     p = _place(uid, pos)
     return table_[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
 
@@ -132,7 +132,7 @@ def multikey_order(*keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _records(docs: DataFrame, make, splitters: np.ndarray | None, limit: int = STEP) -> DataFrame:
+def records_of(docs: DataFrame, make, splitters: np.ndarray | None, limit: int = STEP) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         g, c, uid, pos = make(*flat(batch["text"]), np.asarray(batch["uid"]))
         bucket = np.searchsorted(splitters, _packed(g, c, uid, pos), side="right") if splitters is not None else np.zeros(len(g))
@@ -141,10 +141,10 @@ def _records(docs: DataFrame, make, splitters: np.ndarray | None, limit: int = S
     return map_texts(docs.select("uid", "text"), one, RECORD, limit=limit)
 
 
-def _splitters(docs: DataFrame, make, buckets: int, rows: int) -> np.ndarray:
+def splitters_of(docs: DataFrame, make, buckets: int, rows: int) -> np.ndarray:
     """Keys that divide the sampled documents' records evenly."""
     every = max(1, rows // SAMPLED)
-    found = _records(docs.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0), make, None).select("g", "c", "uid", "pos")
+    found = records_of(docs.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0), make, None).select("g", "c", "uid", "pos")
     found = found.where(F.pmod(F.xxhash64("uid", "pos"), F.lit(4)) == 0).toArrow()
     cols = [found[k].to_numpy() for k in ("g", "c", "uid", "pos")]
     keys = np.sort(_packed(cols[0].view(np.uint64), cols[1].view(np.uint64), cols[2], cols[3]))
@@ -181,14 +181,14 @@ def _compared(batches):
 
 
 def later(records: DataFrame, buckets: int, name: str) -> DataFrame:
-    """Of records: uid, pos, later (an equal (g, c) comes before) and many (g has other c), for all where either holds."""
+    """Of records: g, c, uid, pos, later (an equal (g, c) comes before) and many (g has other c), for all where either holds."""
     schema = "bucket int, g long, c long, uid long, pos long, kind int, many boolean, head_class boolean, head boolean, tail boolean, last_g long, last_c long"
     rows = written(records.repartitionById(buckets, F.col("bucket")).mapInArrow(_compared, schema), name)
     edges = sorted((r["bucket"], r["g"], r["c"], r["last_g"], r["last_c"]) for r in rows.where("kind = -1").collect())  # a row for each bucket
     known = [(b, i > 0 and edges[i - 1][3] == g, i > 0 and edges[i - 1][3:] == (g, c), i + 1 < len(edges) and edges[i + 1][1] == lg) for i, (b, g, c, lg, _) in enumerate(edges)]
     edge = records.sparkSession.createDataFrame(known or [(-1, False, False, False)], "of int, group_before boolean, class_before boolean, group_after boolean")
     met = rows.where("kind >= 0").join(F.broadcast(edge), F.col("bucket") == F.col("of"))
-    met = met.select("uid", "pos", ((F.col("kind") == 1) | F.col("head_class") & F.col("class_before")).alias("later"), (F.col("many") | F.col("head") & F.col("group_before") | F.col("tail") & F.col("group_after")).alias("many"))
+    met = met.select("g", "c", "uid", "pos", ((F.col("kind") == 1) | F.col("head_class") & F.col("class_before")).alias("later"), (F.col("many") | F.col("head") & F.col("group_before") | F.col("tail") & F.col("group_after")).alias("many"))
     return met.where("later or many")
 
 
@@ -200,7 +200,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     rows, size = single.count(), input_bytes(docs) * 2
     buckets = max(parts(docs), size // (length - gram + 1) * 2 // BUCKET)
     make = lambda buf, off, uid: anchor_records(buf, off, uid, length, gram)
-    first = later(_records(single, make, _splitters(single, make, buckets, rows)), buckets, "anchors")
+    first = later(records_of(single, make, splitters_of(single, make, buckets, rows)), buckets, "anchors")
     judge = first.where("many and not later").select("uid", "pos")
     strings = later(_judged(single, judge, buckets, rows, length, gram), buckets, "strings").where("later")
     marks = first.where("later").select("uid", (F.col("pos") * 2).alias("mark")).union(strings.select("uid", (F.col("pos") * 2 + 1).alias("mark")))
@@ -208,29 +208,36 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return keyed.join(marks, "uid", "left")
 
 
+def bit_table(keys: DataFrame) -> np.ndarray | None:
+    """A bit table of fixed size with a bit for each hashed (uid, pos); None if they are too many for it."""
+    if keys.count() > 1 << TABLE_BITS - 4:
+        return None
+
+    def hashed(batches):
+        for b in batches:
+            p = _place(np.asarray(b["uid"]), np.asarray(b["pos"]))
+            yield pa.record_batch([pa.array((p >> 6).astype(np.int32)), pa.array(signed(np.uint64(1) << (p & 63).astype(np.uint64)))], ["word", "bits"])
+
+    words = keys.select("uid", "pos").mapInArrow(hashed, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2 ** (TABLE_BITS - 6)
+    table_ = np.zeros(1 << TABLE_BITS - 6, np.int64)
+    table_[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table_.view(np.uint8)
+
+
 def _judged(docs: DataFrame, judge: DataFrame, buckets: int, rows: int, length: int, gram: int) -> DataFrame:
     """Records of the strings of the anchors to judge. The anchors come as a bit table of fixed size, in which a wrong hit
     only adds strings, or joined to their documents where they are too many for it."""
     spark = docs.sparkSession
 
-    if judge.count() <= 1 << TABLE_BITS - 4:
-
-        def hashed(batches):
-            for b in batches:
-                p = _place(np.asarray(b["uid"]), np.asarray(b["pos"]))
-                yield pa.record_batch([pa.array((p >> 6).astype(np.int32)), pa.array(signed(np.uint64(1) << (p & 63).astype(np.uint64)))], ["word", "bits"])
-
-        words = judge.mapInArrow(hashed, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2 ** (TABLE_BITS - 6)
-        table_ = np.zeros(1 << TABLE_BITS - 6, np.int64)
-        table_[words["word"].to_numpy()] = words["bits"].to_numpy()
-        shared = spark.sparkContext.broadcast(table_.view(np.uint8))
+    if (table_ := bit_table(judge)) is not None:
+        shared = spark.sparkContext.broadcast(table_)
         make = lambda buf, off, uid: string_records(buf, off, uid, shared.value, length, gram)
-        return _records(docs, make, _splitters(docs, make, buckets, rows))
+        return records_of(docs, make, splitters_of(docs, make, buckets, rows))
     lists = judge.groupBy("uid").agg(F.collect_list("pos").alias("at"))
     met = docs.join(lists, "uid")
     everything = np.full(1 << TABLE_BITS - 3, 255, np.uint8)
     make = lambda buf, off, uid: string_records(buf, off, uid, everything, length, gram)
-    splitters = _splitters(docs, make, buckets, rows)
+    splitters = splitters_of(docs, make, buckets, rows)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         uid, lists_ = np.asarray(batch["uid"]), batch["at"]
