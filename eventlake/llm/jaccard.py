@@ -78,8 +78,8 @@ class Bands:
             edges.append(edges[-1] * 100 // percent + 1)
         self.edges = np.array(edges)
         top = self.edges[1:] - 1
-        most = self.differences(top, top * 100 // percent)
-        self.segments = most + 2 + most // 32  # some more than can differ, for those that are empty
+        self.most = self.differences(top, top * 100 // percent)
+        self.segments = self.most + 2 + self.most // 32  # some more than can differ, for those that are empty
 
     def differences(self, a, b):
         """Most n-grams in which sets of sizes a and b can differ and link."""
@@ -106,7 +106,7 @@ def signatures(row: np.ndarray, h: np.ndarray, n: int, percent: int) -> tuple[np
         need = bands.differences(np.minimum(size[docs], bands.edges[band + 1] - 1), size[docs]) + 1
         jobs.append(np.stack([docs, band, need, np.full(len(docs), back == 0)]))
     doc, band, need, home = np.concatenate(jobs, axis=1)
-    some = need > 1  # else only equal sets link
+    some = (need > 1) | (home == 1) & (bands.most[band] > 0)  # else only equal sets link
     doc, band, need, home = doc[some], band[some], need[some], home[some].astype(bool)
     if not len(doc):
         return none
