@@ -3,6 +3,7 @@ word and hash arithmetic over UTF-8 buffers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take the shuffle files of frames that nothing refers to any more, which it learns of from the
+    collectors of Python and the JVM alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of what df reads: file sizes for scans. Where it has none, 16 MB for each partition."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

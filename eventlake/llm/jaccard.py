@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, chained, flat, input_bytes, lower, map_texts, mixed, parts, signed, table, texts_of, unique_ids, words, written
+from .common import Hashes, chained, flat, input_bytes, lower, map_texts, mixed, parts, released, table, texts_of, unique_ids, words, written
 from .suffixes import BUCKET, bit_table, in_table, later, records_of, splitters_of
 
 SHINGLE, PERCENT = 4, 85
 #: Turns of verifying against one set of each segment, at most, and candidate pairs that are few enough to verify all.
-TURNS, FEW = 8, 100_000
+TURNS, FEW = 4, 100_000
 STEP = 2 << 20
 
 
@@ -65,7 +65,7 @@ def nodes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     full = np.flatnonzero(size)
     if len(row):
         total[full] = np.add.reduceat(mixed(h, 11), (np.cumsum(size) - size)[full])
-    return size, signed(mixed(total + size.astype(np.uint64), 13))
+    return size, mixed(total + size.astype(np.uint64), 13).view(np.int64)
 
 
 class Bands:
@@ -178,7 +178,7 @@ def sets_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, known: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n, grams of the wanted nodes, from one document of each."""
+    """node, n, text of the wanted nodes, from one document of each."""
     one_of = known.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid")).select("uid", F.lit(0).cast("long").alias("pos"))
     one_of = written(one_of, "sources")
     rows = docs.select("uid", "text")
@@ -193,21 +193,36 @@ def _whole_sets(docs: DataFrame, known: DataFrame, wanted: DataFrame, k: int) ->
     rows = rows.join(one_of.select("uid"), "uid", "left_semi").dropDuplicates(["uid"])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, h = shingles(*flat(batch["text"]), k)
-        size, node = nodes(row, h, batch.num_rows)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return pa.record_batch([pa.array(node), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(h)))], ["node", "n", "grams"])
+        size, node = nodes(*shingles(*flat(batch["text"]), k), batch.num_rows)
+        return pa.record_batch([pa.array(node), pa.array(size), batch["text"]], ["node", "n", "text"])
+
+    return written(map_texts(rows, one, "node long, n long, text string", limit=STEP), "sets")
 
-    return written(map_texts(rows, one, "node long, n long, grams array<long>", limit=STEP), "sets")
 
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that link. Texts travel, not n-grams, as they are smaller; and of them, those of the pairs."""
+    ends = pairs.select(F.col("a").alias("uid"), F.lit(0).cast("long").alias("pos")).union(pairs.select("b", F.lit(0).cast("long"))).distinct()
+    if (bits := bit_table(ends)) is not None:
+        shared, schema = pairs.sparkSession.sparkContext.broadcast(bits), sets.schema
+
+        def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
+            node = np.asarray(batch["node"])
+            return batch.filter(pa.array(in_table(shared.value, node, np.zeros(len(node), np.int64))))
+
+        sets = map_texts(sets, maybe, schema)
+    left, right = sets.toDF("a", "n_a", "text_a"), sets.toDF("b", "n_b", "text_b")
+    met = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = []
+        for side in ("text_a", "text_b"):
+            row, h = shingles(*flat(batch[side]), k)
+            keys.append((row, mixed(h + row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))))
+        common = np.bincount(keys[0][0][np.isin(keys[0][1], keys[1][1])], minlength=batch.num_rows)
+        total = np.asarray(batch["n_a"]) + np.asarray(batch["n_b"]) - common
+        return batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * total))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    sized = pairs.join(left.drop("grams_a"), "a").join(right.drop("grams_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-    met = sized.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
-    return met.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
+    return map_texts(met.select("a", "b", "n_a", "n_b", "text_a", "text_b"), one, "a long, b long", "text_a", STEP // 2)
 
 
 def connected(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -237,7 +252,8 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, turns: int =
     known = written(sets_of(docs, k), "known")
     postings = written(_postings(docs, k, percent), "postings")
     wanted = postings.select("node").distinct()
-    sets, labels, links = _whole_sets(docs, known, wanted, k), None, None
+    released(docs.sparkSession)
+    sets, labels, grew = _whole_sets(docs, known, wanted, k), None, True
     for turn in range(turns + 1):
         rows = labelled(postings, labels)
         mixed_ = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("role").alias("most")).where("low <> high and most <> 1").select("sig", "most")
@@ -255,9 +271,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, turns: int =
         else:
             hubs = rows.where("most = 0").groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).select(F.col("sig").alias("s"), "hub.*").toDF("s", "b", "label_b")
             pairs = rows.where("most = 0").join(hubs, F.col("sig") == F.col("s")).where("label <> label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        new = verified(written(pairs, "pairs"), sets, percent)
+        new = verified(written(pairs, "pairs"), sets, k, percent)
         new = new if labels is None else labelled(labelled(new.withColumnRenamed("a", "node"), labels).select(F.col("label").alias("a"), F.col("b").alias("node")), labels).select("a", F.col("label").alias("b")).distinct()
         new = written(new, "new")
+        released(docs.sparkSession)
         grew = new.limit(1).count() > 0
         if grew:
             found = connected(new)
