@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, chained, flat, ids_unique, input_bytes, map_texts, mixed, parts, signed, table, texts_of, unique_ids, written
+from .common import Hashes, chained, flat, ids_unique, input_bytes, map_texts, mixed, parts, released, signed, table, texts_of, unique_ids, written
 
-LENGTH, GRAM = 100, 24
-#: Text bytes worked on at once; a record for each of some 40 bytes.
+LENGTH, GRAM = 100, 64
+#: Text bytes worked on at once; a record for each of some 20 bytes.
 STEP = 1 << 20
 #: Documents whose records are the sample for the splitters, about.
 SAMPLED = 1500
@@ -201,8 +201,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     buckets = max(parts(docs), size // (length - gram + 1) * 2 // BUCKET)
     make = lambda buf, off, uid: anchor_records(buf, off, uid, length, gram)
     first = later(records_of(single, make, splitters_of(single, make, buckets, rows)), buckets, "anchors")
+    released(docs.sparkSession)
     judge = first.where("many and not later").select("uid", "pos")
     strings = later(_judged(single, judge, buckets, rows, length, gram), buckets, "strings").where("later")
+    released(docs.sparkSession)
     marks = first.where("later").select("uid", (F.col("pos") * 2).alias("mark")).union(strings.select("uid", (F.col("pos") * 2 + 1).alias("mark")))
     marks = marks.groupBy("uid").agg(F.collect_list("mark").alias("marks"))
     return keyed.join(marks, "uid", "left")
