@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, flat, lower, map_texts, signed, sliced, spans, table, texts_of
+from .common import Hashes, flat, lower, map_texts, signed, sliced, spans, table, texts_of, written
 from .quality import calibrate
 
 #: Labelled rows the machine is fitted on, at most (the bound of the sample).
@@ -57,7 +57,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
-    rows_in = sample(docs, labels, rows)
+    rows_in = written(sample(docs, labels, rows), "labelled")  # one pass over the documents, three over the sample
 
     def counted(batches):
         """Rows of each kind that have a term, for a whole task."""
