@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. A line's length counts the text that is neither in a link (but for
-links of a marked article) nor in a part of the page that is boilerplate by its element or by its class, id or role. Lengths are summed over sliding
-windows of lines: where the sum surges the main text begins, where it dives back to nothing it ends, and the text between
-is kept; of several such stretches those of any real weight beside the largest are kept. Where the page marks an article
-or main part, the windows are those of that part. Lines of length 0 between surge and dive are no text and go.
+Markup is stripped into lines, one for each block of the page. A line's length counts the text that is neither in a link
+nor in a part of the page that is boilerplate by its element or by its class, id or role. Lengths are summed over sliding
+windows of lines. A stretch of windows above the dive threshold is text if one of them reaches the surge threshold, and
+its lines are kept; of several such stretches those of any real weight beside the largest are kept. Where article and main
+elements hold most of the page's text, their lines weigh more and their links count; text outside still counts, and
+elsewhere these elements mean nothing. Lines of length 0 between surge and dive are no text and go.
 
 Defined results: a null or empty html has an empty text; broken, unclosed or cut off markup is read as far as it goes;
 null ids and repeated rows are rows like others; an empty table gives no rows; other columns are ignored.
@@ -33,7 +34,11 @@ WHOLE = frozenset("html body article main".split())
 #: Words of class, id, role and aria-label that mark boilerplate.
 BOILERPLATE = frozenset("ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promoted promotion sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright legal disclaimer skip feedback rating reviews hidden complementary contentinfo search dialog outbrain taboola".split())
 WINDOW = 3
-#: A stretch is kept if it has this part of the largest one's length.
+#: Characters in a window that begin a stretch, or this part of the page's largest window where that is less; and the part of them under which it ends.
+SURGE, SURGE_PART, DIVE_PART = 86, 0.5, 0.125
+#: Weight of a character in an article or main element that holds most of the text.
+MARKED = 10
+#: A stretch is kept if its weight is this part of the largest one's length.
 SHARE = 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -57,31 +62,35 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
-    """The page's lines: text, length, and whether it stands in an article or main element."""
-    text, length, inside = [], [], []
+def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
+    """The page's lines: text, length, length with the links of article and main elements, and whether it stands in one."""
+    text, length, whole, inside = [], [], [], []
     words: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, boilerplate from here, article from here
-    good, linked, quiet, core = 0, 0, 0, 0
+    good, more, linked, quiet, core = 0, 0, 0, 0, 0
 
     def close() -> None:
-        nonlocal good
+        nonlocal good, more
         joined = " ".join(unescape("".join(words)).split()) if words else ""
         if joined:
             text.append(joined)
             length.append(len(joined) if good else 0)
+            whole.append(len(joined) if good or more else 0)
             inside.append(core > 0)
         words.clear()
-        good = 0
+        good = more = 0
 
     def say(piece: str) -> None:
-        nonlocal good
+        nonlocal good, more
         if piece:
             if quiet:
                 return
             words.append(piece)
-            if (core or not linked) and not piece.isspace():
-                good += len(piece.strip())
+            if not piece.isspace():
+                if not linked:
+                    good += len(piece.strip())
+                elif core:
+                    more += len(piece.strip())
 
     def leave(element: str) -> None:
         nonlocal quiet, core, linked
@@ -129,38 +138,40 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             stack.append((name, silent, article))
     say(html[at:])
     close()
-    return text, length, inside
+    return text, length, whole, inside
 
 
-def stretches(length: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(surge, dive, length) of the stretches of lines whose window sums are above nothing; a stretch ends at the last
-    line of any length."""
-    if not len(length):
+def stretches(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first line, end) of the stretches of windows above the dive threshold that reach the surge threshold, without the
+    lines of length 0 at their ends."""
+    if not weight.any():
         return []
-    sums = np.convolve(length, np.ones(window, np.int64))[window - 1 :][: len(length)] if len(length) >= window else np.array([length[i:].sum() for i in range(len(length))])
-    up = sums > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], up.astype(np.int8), [0]])))
+    sums = np.convolve(weight, np.ones(window, np.int64))  # sums[i]: the window whose last line is i
+    surge = min(SURGE, SURGE_PART * sums.max())
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > DIVE_PART * surge).astype(np.int8), [0]])))
     out = []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        full = np.flatnonzero(length[a:b]) + a
-        if len(full):
-            out.append((int(full[0]), int(full[-1]) + 1, int(length[a:b].sum())))
+        if sums[a:b].max() >= surge:
+            first = max(0, a - window + 1, out[-1][1] if out else 0)  # lines between two stretches are the earlier one's
+            full = np.flatnonzero(weight[first:b]) + first
+            if len(full):
+                out.append((int(full[0]), int(full[-1]) + 1))
     return out
 
 
 def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
     if not html:
         return ""
-    text, length, inside = lines(html)
-    length, inside = np.array(length, np.int64), np.array(inside, bool)
-    if inside.any() and length[inside].sum():
-        length = np.where(inside, length, 0)
-        share = 0.0  # all of the marked part
-    found = stretches(length, window)
-    if not found:
-        return ""
-    most = max(x[2] for x in found)
-    return "\n".join(text[i] for a, b, weight in found if weight >= share * most for i in range(a, b) if length[i])
+    text, *columns = lines(html)
+    length, whole, inside = (np.array(c, np.int64) for c in columns)
+    plain = length if length.any() else whole
+    weight = length
+    if 2 * (plain * inside).sum() > plain.sum():
+        length = whole
+        weight = length * np.where(inside, MARKED, 1)
+    found = stretches(weight, window)
+    most = max((length[a:b].sum() for a, b in found), default=0)
+    return "\n".join(text[i] for a, b in found if weight[a:b].sum() >= share * most for i in range(a, b) if length[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -46,6 +46,36 @@ def test_html():
     assert html.main_text(loose).endswith("more")
 
 
+def test_html_without_marked_article():
+    body = [f"Paragraph {i} " + "has words of its own and goes on for a while " * 4 for i in range(8)]
+    long = "".join(f"<p>{p}</p>" for p in body)
+    want = "\n".join(" ".join(p.split()) for p in body)
+    cards = "".join(f"<article><h3><a href=q>Teaser {i}</a></h3></article>" for i in range(9))
+    assert html.main_text(f"<div>{long}</div>{cards}") == want  # teasers are articles, the body is not
+    assert html.main_text(f"{cards}<div>{long}</div>") == want
+    assert html.main_text(f"<article><p>A short teaser.</p></article><div><a href=q>x</a></div>{'<hr><p><a href=q>l</a></p>' * 5}<div>{long}</div>") == want
+    few = "".join(f"<p>{w}</p>" for w in ("one", "two"))
+    links = "<ul>" + "<li><a href=q>link</a></li>" * 6 + "</ul>"
+    assert html.main_text(few + links + long + links + few) == want  # never surges
+    assert html.main_text(f"<article>{few}</article>{links}{long}{links}") == want
+    assert html.main_text(f"<article>{long}</article>{links}{long}") == want + "\n" + want  # as much text outside as inside
+    assert html.main_text(f"<main>{long}{links}<p>The end of it.</p></main>").endswith("link\nThe end of it.")
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_template(tag):
+    """Pages of sf0.01 as they are and without their article elements, against a reading of the template."""
+    import html as h
+
+    import pandas as pd
+
+    for page in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        want = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", inner))]
+        got = html.main_text(re.sub(r"(</?)article>", rf"\1{tag}>", page))
+        assert got == "\n".join(x for x in want if x)
+
+
 def test_toxicity_held_out(spark):
     import pandas as pd
 
