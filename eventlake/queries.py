@@ -78,7 +78,7 @@ def source_order_lifecycle(spark, sf_dir):
 
 @query("select cast(user_id as varchar) as value, event_id + 1 as position from events where user_id % 10 = 3")
 def source_many_entities(spark, sf_dir):
-    keys = spark.range(0, 100_000).where("id % 10 = 3").select(F.col("id").cast("string").alias("value"))
+    keys = adapters.table(spark, sf_dir, "events").where("user_id % 10 = 3").select(F.col("user_id").cast("string").alias("value"))
     return reads.source_many(adapters.activity(spark, sf_dir), keys, "userId").select("value", "position")
 
 

@@ -72,3 +72,19 @@ def test_queries_agree_with_sql(spark, name):
     got, want = queries.QUERIES[name](spark, sf), db.sql(queries.ORACLES[name])
     order = [d[0] for d in want.description]
     assert sorted(map(tuple, got.select(*order).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_source_many_entities_has_no_highest_user(spark, tmp_path):
+    import duckdb
+
+    from eventlake import queries
+
+    users = [3, 13, 4, 99_993, 100_003, 5_000_000_003, 5_000_000_003]
+    e = spark.createDataFrame([(i, u) for i, u in enumerate(users)], "event_id long, user_id long")
+    e = e.withColumns({"ts": F.timestamp_seconds(F.lit(0)), "event_type": F.lit("view"), "props": F.lit('{"k": 1}')})
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = queries.QUERIES["source_many_entities"](spark, str(tmp_path)).select("value", "position").collect()
+    want = db.sql(queries.ORACLES["source_many_entities"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 6
