@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a word or the first four to six bytes of one, hashed to 64 bits. Terms that tell toxic from clean rows in a
-bounded labelled sample (chi-squared) get a weight and a vector; a document's margin is the bias, the weights of its
-distinct terms and the inner products of their vectors in pairs, so that an insult beside a group's name can weigh more
-than both alone. Margins become probabilities by a sigmoid fitted on rows kept out of the fit.
-
-Defined results: a null or empty text scores as one without known terms; null doc_ids are not held out and never learned
+A term is a word or the first four to six bytes of one, hashed to one of 2^18 slots. Every slot that occurs in a bounded
+labelled sample gets a weight and a vector; a document's margin is the bias, the weights of its distinct slots and, over
+its size, the inner products of their vectors in pairs, so that an insult beside a group's name can weigh more than both
+alone. What tells nothing is held down by regularisation and not left out: both are scaled down for slots of few rows or
+of nearly all, and weights also by how little the slot tells alone (chi-squared); vectors are not, so pairs that tell only
+together are learned. Margins become probabilities by a sigmoid fitted on rows kept out of the fit.
+
+Defined results: a null or empty text scores as one without terms; null doc_ids are not held out and never learned
 from; repeated rows are scored like others; without labels of both kinds all scores are 0; an empty table gives no rows;
 other columns are ignored by `score` and kept by `without_toxic`. Of several labels of a doc_id the highest counts.
 """
@@ -17,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, flat, lower, map_texts, signed, sliced, spans, table, texts_of, written
+from .common import Hashes, flat, lower, map_texts, spans, table, texts_of, written
 from .quality import calibrate
 
 #: Labelled rows the machine is fitted on, at most (the bound of the sample).
 FIT_ROWS = 20_000
-TERMS, FACTORS, LEAST_ROWS = 4096, 8, 3
-#: Least chi-squared of a term: chance gives it to one term in some millions.
-LEAST_CHI = 26.0
+SLOT_BITS, FACTORS = 18, 8
+#: Rows and chi-squared of a slot at which its scale is half.
+HALF_ROWS, HALF_CHI = 10.0, 26.0
+BATCH = 256
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 _PART = np.ones(256, bool)  # white space and ASCII punctuation end a term
@@ -57,100 +60,108 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
-    rows_in = written(sample(docs, labels, rows), "labelled")  # one pass over the documents, three over the sample
-
-    def counted(batches):
-        """Rows of each kind that have a term, for a whole task."""
-        keys, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        for batch in (p for b in batches for p in sliced(b, "text", 4 << 20)):
-            row, h = terms(*flat(batch["text"]))
-            y = np.asarray(batch["y"], dtype=np.int64)
-            pair = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-            keys, where = np.unique(np.concatenate([keys, pair[0]]), return_inverse=True)
-            old, counts = counts, np.zeros((len(keys), 2), np.int64)
-            np.add.at(counts, where[: len(old)], old)
-            np.add.at(counts, (where[len(old) :], y[pair[1].astype(np.int64)]), 1)
-        for a in range(0, len(keys), 50_000):
-            yield pa.record_batch([pa.array(signed(keys[a : a + 50_000])), pa.array(counts[a : a + 50_000, 0]), pa.array(counts[a : a + 50_000, 1])], ["term", "clean", "toxic"])
-
-    n = {bool(r["y"]): r["n"] for r in rows_in.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return {"terms": np.zeros(0, np.uint64)}
-    found = rows_in.select("text", "y").mapInArrow(counted, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {LEAST_ROWS}")
-    total, toxic = n[True] + n[False], n[True]
-    lift = F.col("t") * float(total) - (F.col("c") + F.col("t")) * float(toxic)
-    chi = float(total) * lift * lift / ((F.col("c") + F.col("t")) * float(toxic) * float(total - toxic)) / (float(total) - (F.col("c") + F.col("t")) + 1.0)
-    kept = found.where(chi >= LEAST_CHI).orderBy(chi.desc(), "term").limit(TERMS).select("term").toArrow()["term"].to_numpy()
-    known = np.sort(kept.view(np.uint64))
+    rows_in = written(sample(docs, labels, rows), "labelled")  # one pass over the documents, two over the sample
+    if rows_in.select("y").distinct().count() < 2:
+        return {"terms": np.zeros(0, np.int64)}
 
     def active(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, at = matched(*flat(batch["text"]), known)
+        row, at = slots(*flat(batch["text"]))
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
         return pa.record_batch([batch["doc_id"], batch["y"], pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32()))], ["doc_id", "y", "at"])
 
     rows_of = map_texts(rows_in, active, "doc_id long, y int, at array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = rows_of["at"].combine_chunks()
     y = (np.asarray(rows_of["y"]) > 0).astype(np.float64)
-    return {"terms": known} | machine(np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten(), dtype=np.int64), y, len(known))
+    return machine(np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()), y)
 
 
-def matched(buf: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, index of term) of the distinct known terms of each row, in order of row."""
+def slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the distinct slots of each row, in order of row."""
     row, h = terms(buf, off)
-    if not len(known):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(known >> np.uint64(44)).astype(np.int64)] = True
-    maybe = sieve[(h >> np.uint64(44)).astype(np.int64)]
-    row, h = row[maybe], h[maybe]
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    hit = known[at] == h
-    key = np.unique(row[hit] * len(known) + at[hit])
-    return key // len(known), key % len(known)
-
-
-def margins(row: np.ndarray, at: np.ndarray, n: int, b: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Margins, and each row's sum of vectors."""
-    sums = np.stack([np.bincount(row, v[at, k], minlength=n) for k in range(v.shape[1])], 1)
-    squares = np.bincount(row, (v[at] ** 2).sum(1), minlength=n)
-    return b + np.bincount(row, w[at], minlength=n) + 0.5 * ((sums**2).sum(1) - squares), sums
-
-
-def machine(row: np.ndarray, at: np.ndarray, y: np.ndarray, terms_: int, factors: int = FACTORS, steps: int = 1500, seed: int = 5) -> dict:
-    """Weights and vectors by Adam on the logistic loss, kinds balanced; every fifth row calibrates and isn't fitted."""
-    n = len(y)
+    key = np.unique(row << SLOT_BITS | (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+    return key >> SLOT_BITS, key & (1 << SLOT_BITS) - 1
+
+
+def summed(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x between cuts."""
+    out, some = np.zeros((len(cut) - 1, x.shape[1]), np.float32), cut[1:] > cut[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(x, cut[:-1][some], axis=0)
+    return out
+
+
+def margins(row: np.ndarray, at: np.ndarray, n: int, model: dict) -> np.ndarray:
+    """Margins of n rows; (row, at) in order of row."""
+    every = np.concatenate([model["w"][:, None], model["v"], model["size"][:, None]], 1)
+    z, cut = np.zeros(n), np.searchsorted(row, np.arange(n + 1))
+    for a in range(0, n, BATCH):
+        b = min(n, a + BATCH)
+        x, own = every[at[cut[a] : cut[b]]], cut[a : b + 1] - cut[a]
+        sums = summed(x, own)
+        squares = summed((x[:, 1:-1] ** 2).sum(1, keepdims=True), own)[:, 0]
+        z[a:b] = model["b"] + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - squares) / np.maximum(sums[:, -1], 1e-3)
+    return z
+
+
+def machine(row: np.ndarray, at: np.ndarray, y: np.ndarray, factors: int = FACTORS, steps: int = 300, passes: int = 8, seed: int = 5) -> dict:
+    """Weights and vectors by AdaGrad on the logistic loss, kinds balanced, in batches; weights shrink by L1, vectors by L2.
+    Every fifth row calibrates and isn't fitted."""
+    n, size, random = len(y), 1 << SLOT_BITS, np.random.default_rng(seed)
     test = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) * ~test / max(1, (~test).sum())
-    flat_ = np.concatenate([np.zeros(terms_ + 1), np.random.default_rng(seed).normal(0, 0.02, terms_ * factors)])  # weights, bias, vectors
-    rate = np.concatenate([np.full(terms_ + 1, 0.05), np.full(terms_ * factors, 0.01)])
-    mean, square = np.zeros(len(flat_)), np.zeros(len(flat_))
-    for step in range(1, steps + 1):
-        w, b, v = flat_[:terms_], flat_[terms_], flat_[terms_ + 1 :].reshape(terms_, factors)
-        z, sums = margins(row, at, n, b, w, v)
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        own = np.bincount(at, e[row], minlength=terms_)
-        dv = np.stack([np.bincount(at, e[row] * sums[row, k], minlength=terms_) for k in range(factors)], 1) - v * own[:, None] + 1e-4 * v
-        g = np.concatenate([own + 1e-5 * w, [e.sum()], dv.ravel()])
-        mean = 0.9 * mean + 0.1 * g
-        square = 0.99 * square + 0.01 * g * g
-        flat_ = flat_ - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    w, b, v = flat_[:terms_], flat_[terms_], flat_[terms_ + 1 :].reshape(terms_, factors)
-    z, _ = margins(row, at, n, b, w, v)
-    return {"w": w, "v": v, "b": b} | calibrate(z[test], y[test], z, y)
+    of, toxic = np.bincount(at, minlength=size), np.bincount(at, y[row], minlength=size)
+    chi = n * (toxic * n - of * y.sum()) ** 2 / np.maximum(of * y.sum() * (n - y.sum()), 1e-9) / (n - of + 1.0)
+    common = of / (of + HALF_ROWS) * np.sqrt(1 - of / n)
+    scale = np.column_stack([common * (chi + 2) / (chi + HALF_CHI), *[common] * factors]).astype(np.float32)
+    whole = np.maximum(np.bincount(row, common[at] ** 2, minlength=n), 1e-3).astype(np.float32)
+    own = np.column_stack([np.zeros(size), random.normal(0, 0.01, (size, factors))]).astype(np.float32)  # weight, vector
+    rate = np.array([0.2] + [0.1] * factors, np.float32)
+    shrink, least = np.array([0.0] + [1e-3] * factors, np.float32), 3e-4
+    square, b, b_square = np.full_like(own, 1e-8), 0.0, 1e-8
+    learned = random.permutation(np.flatnonzero(~test))
+    balance = np.where(y > 0, 0.5 / max(y[learned].mean(), 1e-9), 0.5 / max(1 - y[learned].mean(), 1e-9))
+    cut, batches = np.searchsorted(row, np.arange(n + 1)), []
+    for a in range(0, len(learned), BATCH):
+        rows = learned[a : a + BATCH]
+        many = cut[rows + 1] - cut[rows]
+        starts = np.concatenate([[0], np.cumsum(many)])
+        used, which = np.unique(at[np.repeat(cut[rows] - starts[:-1], many) + np.arange(starts[-1])], return_inverse=True)
+        by_slot = np.repeat(np.arange(len(rows), dtype=np.int32), many)[np.argsort(which, kind="stable")]
+        batches.append((rows, starts, used, which.astype(np.int32), by_slot, np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(used)))])))
+    for step in range(max(steps, passes * len(batches))):
+        rows, starts, used, which, by_slot, ends = batches[step % len(batches)]
+        x, q, part = own[used] * scale[used], own[used], 1 / whole[rows]
+        sums = summed(x[which], starts)
+        squares = summed((x[:, 1:] ** 2).sum(1)[which][:, None], starts)[:, 0]
+        z = b + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares) * part
+        e = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * balance[rows] / len(rows)).astype(np.float32)
+        each = np.column_stack([e, sums[:, 1:] * (e * part)[:, None], e * part])
+        g = summed(each[by_slot], ends)
+        g[:, 1:-1] -= x[:, 1:] * g[:, -1:]
+        g = g[:, :-1] * scale[used] + shrink * q
+        square[used] += g * g
+        pace = rate / np.sqrt(square[used])
+        q -= pace * g
+        q[:, 0] = np.sign(q[:, 0]) * np.maximum(np.abs(q[:, 0]) - pace[:, 0] * least, 0)
+        own[used] = q
+        b_square += float(e.sum()) ** 2
+        b -= rate[0] * float(e.sum()) / b_square**0.5
+    fitted = own * scale
+    model = {"terms": np.flatnonzero(of), "w": fitted[:, 0], "v": fitted[:, 1:], "size": (common**2).astype(np.float32), "b": b}
+    z = margins(row, at, n, model)
+    return model | calibrate(z[test], y[test], z, y)
 
 
 def probability(buf: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     n = len(off) - 1
     if not len(model["terms"]):
         return np.zeros(n)
-    row, at = matched(buf, off, model["terms"])
-    z, _ = margins(row, at, n, model["b"], model["w"], model["v"])
+    z = margins(*slots(buf, off), n, model)
     return 1 / (1 + np.exp(-np.clip(model["scale"] * z + model["shift"], -40, 40)))
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS weights and vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights and vectors
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = probability(*flat(batch["text"]), shared.value)

@@ -96,6 +96,20 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.without_toxic(docs, {"terms": np.zeros(0, np.uint64)}).columns == docs.columns
 
 
+def test_toxicity_of_pairs_only(spark):
+    """Each of two terms is as frequent in clean rows as in toxic ones; only together, or both missing, they tell."""
+    r, rows = random.Random(7), []
+    for i in range(3000):
+        a, b = i % 2, i // 2 % 2
+        words = [f"w{r.randrange(400)}x" for _ in range(12)] + ["bozo"] * a + ["martian"] * b
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    docs = texts_of(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = [(x["score"] > 0.5) == bool(rows[x["doc_id"]][2]) for x in toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").collect()]
+    assert sum(got) / len(got) > 0.85
+
+
 def test_quality_counts(spark, docs):
     def brute(t):
         w = WORD.findall(t)
