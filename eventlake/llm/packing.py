@@ -3,7 +3,8 @@
 Only the number of pieces of each length matters, so the instance is a table of at most `capacity` counts, whatever the
 corpus. The reduction fixes sets of pieces that dominate every other feasible set of their largest piece: pieces that
 fill a sequence exactly in pairs, pieces that nothing fits beside, and pairs where the partner is at least as long as any
-set that could stand in its place. It repeats until nothing can be fixed; best fit by falling length packs the rest.
+set that could stand in its place. It goes through all lengths, longest first, and repeats until nothing can be fixed;
+sets of three are not looked at. Best fit by falling length packs the rest.
 Both work on runs of equal pieces, so the plan has a few thousand runs at most. Pieces find their place by length and rank.
 
 Defined results: a null or empty text is the end id alone; null doc_ids and repeated rows are packed like others; an
@@ -44,33 +45,45 @@ def reduced(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int
         n = int(counts[a] // 2 if a == b else min(counts[a], counts[b])) if a >= b else 0
         if n:
             fix(n, a, b)
-    while counts.any():
-        a = int(np.flatnonzero(counts)[-1])
-        counts[a] -= 1
-        others = np.flatnonzero(counts)
-        fits = others[others <= capacity - a]
-        counts[a] += 1
-        if not len(fits):
-            fix(int(counts[a]), a)
-            continue
-        b, reach = int(fits[-1]), 0
-        if b < capacity - a:
-            room, sums = capacity - a, 1
-            for x in fits.tolist():  # every sum up to room, a length as often as it fits
-                step = x
-                while step <= room:
-                    sums |= sums << step & ((1 << room + 1) - 1)
-                    step *= 2
-            pairs = 0
-            for x in fits.tolist():
-                pairs |= (sums & ~1) << x
-            reach = (pairs & ((1 << room + 1) - 1)).bit_length() - 1
-        if reach > b:
-            break
-        fix(int(counts[a] // 2 if a == b else min(counts[a], counts[b])) or 1, a, b)
+    before = -1
+    while len(fixed) > before:
+        before = len(fixed)
+        for a in np.flatnonzero(counts)[::-1].tolist():
+            while counts[a] and (found := _dominating(counts, a, capacity - a)):
+                n, b = found
+                fix(n, *((a, b) if b else (a,)))
     return fixed
 
 
+def _dominating(counts: np.ndarray, a: int, room: int) -> tuple[int, int] | None:
+    """How often, and the partner of a (0: none) in a set that dominates all sets with a; None where there is no such pair."""
+    counts[a] -= 1
+    fits = np.flatnonzero(counts[: room + 1])
+    has = counts[fits]
+    twice = fits[has > 1]
+    counts[a] += 1
+    if not len(fits):
+        return int(counts[a]), 0
+    b = int(fits[-1])
+    if b < room:
+        beside = np.searchsorted(fits, np.minimum(room - fits, fits - 1), side="right") - 1
+        two = (fits + fits[beside])[beside >= 0]  # of two lengths
+        if (two > b).any() or ((2 * twice > b) & (2 * twice <= room)).any():
+            return None
+        one, more, all_ = 0, 0, (1 << room + 1) - 1  # sums up to room of one piece, and of several
+        for x, n in zip(fits.tolist(), has.tolist(), strict=True):
+            n, times = min(n, room // x), 1
+            while n:
+                times = min(times, n)
+                more |= (one | more | (times > 1)) << x * times & all_
+                one |= 1 << x if times == 1 else 0
+                n -= times
+                times *= 2
+        if more.bit_length() - 1 > b:
+            return None
+    return int(counts[a] // 2 if a == b else min(counts[a], counts[b])) or 1, b
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Best fit by falling length: each piece goes to the fullest sequence that has room, by runs of equal sequences."""
     open_: dict[int, list] = defaultdict(list)

@@ -224,6 +224,19 @@ def test_packing_plans_are_tight():
         assert sum(n for n, _ in runs) <= -(-int((counts * np.arange(101)).sum()) // 100) * 1.12
 
 
+def test_packing_reduction_goes_past_a_length_it_cannot_fix():
+    counts = np.zeros(101, np.int64)
+    counts[[90, 80, 60, 38, 19, 7, 5, 4]] = 1  # beside 90, 5 + 4 fills more than 7
+    left = counts.copy()
+    fixed = packing.reduced(left, 100)
+    assert not left.any() and len(fixed) == 4  # the pieces need 4 sequences
+    for n, content in fixed:
+        assert n == 1 and sum(a * k for a, k in content) <= 100
+        for a, k in content:
+            counts[a] -= n * k
+    assert (counts == left).all()
+
+
 def _left(counts):
     left = counts.copy()
     packing.reduced(left, 100)
