@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is not set: driver and executors share no folder")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventlake-"))
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get()
@@ -45,7 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discarded(*frames: DataFrame | None) -> None:
+    """Deletes tables that `written` made, when nothing reads them any more."""
+    for df in frames:
+        if df is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def released(spark: SparkSession) -> None:
@@ -56,8 +68,10 @@ def released(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads: file sizes for scans. Where it has none, 16 MB for each partition."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """What df reads by Catalyst's estimates: file sizes for scans. Where it has none, 16 MB for each partition."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
     return size if size < 1 << 58 else df.rdd.getNumPartitions() << 24
 
 
@@ -159,6 +173,30 @@ class Hashes:
         return mixed((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
 
 
+_BELOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low n bytes
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, each as the sum of its blocks of eight bytes, mixed with their number."""
+    words_, size = eights(buf), ends - starts
+    out = mixed(words_[starts] & _BELOW[np.minimum(size, 8)], 2 * salt + 1)
+    long_ = np.flatnonzero(size > 8)
+    if len(long_):
+        blocks = (size[long_] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+        at = np.repeat(starts[long_], blocks) + 8 * nth
+        value = words_[at] & _BELOW[np.minimum(np.repeat(ends[long_], blocks) - at, 8)]
+        out[long_] += np.add.reduceat(mixed(value ^ mixed(nth.astype(np.uint64), 5), 2 * salt + 1), first)
+    return mixed(out + size.astype(np.uint64), 2 * salt + 2)
+
+
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = x.astype(np.uint64) + np.uint64((salt * 2 + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)

@@ -189,7 +189,9 @@ def later(records: DataFrame, buckets: int, name: str) -> DataFrame:
     edge = records.sparkSession.createDataFrame(known or [(-1, False, False, False)], "of int, group_before boolean, class_before boolean, group_after boolean")
     met = rows.where("kind >= 0").join(F.broadcast(edge), F.col("bucket") == F.col("of"))
     met = met.select("g", "c", "uid", "pos", ((F.col("kind") == 1) | F.col("head_class") & F.col("class_before")).alias("later"), (F.col("many") | F.col("head") & F.col("group_before") | F.col("tail") & F.col("group_after")).alias("many"))
-    return met.where("later or many")
+    out = met.where("later or many")
+    out._path = rows._path
+    return out
 
 
 def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
