@@ -21,9 +21,9 @@ def segment_of(position: Column, size: int = SEGMENT) -> Column:
 
 
 def build(log: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """(segment, fkey, position): one row for each distinct tag of an event and one for its name."""
+    """(segment, fkey, position, name): one row for each distinct tag of an event and one for its name, with its name."""
     keys = F.concat(F.array(F.concat(F.lit("name:"), "name")), F.transform(F.array_distinct("tags"), lambda t: fkey(t["key"], t["value"])))
-    return log.select(segment_of(F.col("position"), size).alias("segment"), F.explode(keys).alias("fkey"), "position")
+    return log.select(segment_of(F.col("position"), size).alias("segment"), F.explode(keys).alias("fkey"), "position", "name")
 
 
 def write(postings: DataFrame, path: str, distinct: int = 1 << 20) -> None:

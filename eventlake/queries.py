@@ -47,7 +47,7 @@ def _sourced(name: str, where: str, condition: Condition, **more) -> None:
 
 
 _sourced("source_by_tag", "user_id = 8", Condition.of(_user(8)))
-_sourced("source_and_tags", f"user_id = 8 and {_K} = '7'", Condition.of(Criterion.of(userId="8", k="7")))
+_sourced("source_and_tags", f"user_id = 8 and {_K} = '10'", Condition.of(Criterion.of(userId="8", k="10")))
 _sourced("source_by_name", "event_type in ('click', 'error')", Condition.of(Criterion(("click", "error"))))
 _sourced("source_tag_and_names", "user_id = 8 and event_type in ('click', 'view')", Condition.of(Criterion.of(("click", "view"), userId="8")))
 _sourced("source_or_criteria", "user_id = 8 or event_type = 'click'", Condition.of(_user(8), Criterion(("click",))))
@@ -76,9 +76,9 @@ def source_order_lifecycle(spark, sf_dir):
     return rows.select("name", "timestamp", F.get_json_object(F.decode("payload", "UTF-8"), "$.amount").cast("double").alias("amount"))
 
 
-@query("select cast(user_id as varchar) as value, event_id + 1 as position from events where user_id % 10 = 3")
+@query("select cast(user_id as varchar) as value, event_id + 1 as position from events")
 def source_many_entities(spark, sf_dir):
-    keys = adapters.table(spark, sf_dir, "events").where("user_id % 10 = 3").select(F.col("user_id").cast("string").alias("value"))
+    keys = adapters.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("value")).distinct()
     return reads.source_many(adapters.activity(spark, sf_dir), keys, "userId").select("value", "position")
 
 
@@ -161,11 +161,12 @@ def segment_pruning(spark, sf_dir):
     return postings.segments_that_may_match(_postings(spark, sf_dir), Condition.of(Criterion.of(("purchase", "error"), userId="8")))
 
 
-@query(f"""select event_id + 1 as position, 'userId=' || user_id as tag from events where event_id < 200 and event_id % 5 <> 0
-  union all select event_id + 1, 'k=' || {_K} from events where event_id < 200
-  union all select event_id + 1, 'region=EU' from events where event_id < 200 and event_id % 3 = 0""")
+@query(f"""select event_id + 1 as position, 'userId=' || user_id as tag from events where event_id % 5 <> 0
+  union all select event_id + 1, 'k=' || {_K} from events
+  union all select event_id + 1, 'region=EU' from events where event_id % 3 = 0""")
 def tag_mutations(spark, sf_dir):
-    log = adapters.activity(spark, sf_dir).where("position <= 200")
+    """Of every event: each fifth loses its user, each third gains a region, each next one gains it and loses it again."""
+    log = adapters.activity(spark, sf_dir)
     tag = lambda k, v: F.struct(F.encode(F.lit(k), "UTF-8").alias("key"), F.encode(v, "UTF-8").alias("value"))
     own = F.filter("tags", lambda t: t["key"] == F.lit(bytearray(b"userId")))[0]
     eu = tag("region", F.lit("EU"))
@@ -187,7 +188,7 @@ def dcb_check_batch(spark, sf_dir):
     users = adapters.table(spark, sf_dir, "events").select("user_id").distinct()
     key = F.concat(F.lit("757365724964="), F.hex(F.encode(F.col("user_id").cast("string"), "UTF-8")))
     conditions = users.select(F.concat(F.lit("user-"), "user_id").alias("cond_id"), (F.col("user_id") * 10).alias("marker"), F.lit(0).alias("crit_id"), F.array(key).alias("fkeys"), F.array(*map(F.lit, ("click", "purchase", "error", "signup"))).alias("names"))
-    return dcb.conflicts(conditions, _postings(spark, sf_dir))
+    return dcb.conflicts(conditions, _postings(spark, sf_dir), SEGMENT)
 
 
 @query()
@@ -250,12 +251,13 @@ def stream_equals_batch(spark, sf_dir):
     return spark.read.schema("position long, name string").parquet(out)
 
 
-_SNAPSHOTS = "(select 'User-' || user_id as key, event_id + 1 as sequence, event_type as state from events where event_id % 7 = 0)"
+_SNAPSHOTS = "(select 'User-' || user_id as key, event_id + 1 as sequence, props as state from events where event_type = 'purchase')"
 
 
 def _snapshots(spark, sf_dir) -> DataFrame:
-    e = adapters.table(spark, sf_dir, "events").where("event_id % 7 = 0")
-    return e.select(F.concat(F.lit("User-"), "user_id").alias("key"), (F.col("event_id") + 1).alias("sequence"), F.col("event_type").alias("state"))
+    """A snapshot of its user at each purchase."""
+    e = adapters.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return e.select(F.concat(F.lit("User-"), "user_id").alias("key"), (F.col("event_id") + 1).alias("sequence"), F.col("props").alias("state"))
 
 
 @query(f"select key, max(sequence) as sequence, arg_max(state, sequence) as state from {_SNAPSHOTS} group by key")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlake.operators import dcb, postings, reads
-from eventlake.plans.criteria import Condition, Criterion, parse_filter
+from eventlake.plans.criteria import Condition, Criterion, Tag, parse_filter
 from eventlake.schema import EVENT, INPUT
 from eventlake.sources.log import ConsistencyConditionViolated, ContextError, Store, valid_context
 
@@ -115,3 +115,20 @@ def test_replay(spark):
             own.setdefault((c, k), []).append(last[c])
             want.append((c, i, True, last[c], 0))
     assert sorted(map(tuple, dcb.replay(spark.createDataFrame(rows, "context string, arrival long, key string, marker long")).collect())) == sorted(want)
+
+
+def test_batch_of_conditions(spark):
+    """Against brute force, with a name and a tag that most events have, and markers in and past every segment."""
+    r = random.Random(3)
+    events = [(p, "Hot" if r.random() < 0.8 else f"N{r.randint(0, 5)}", sorted({("region", "EU")} & {("region", r.choice(["EU", "EU", "US"]))} | {("id", str(r.randint(0, 30))) for _ in range(r.randint(0, 2))})) for p in range(1, 400)]
+    log = spark.createDataFrame([(p, n, [(bytearray(k.encode()), bytearray(v.encode())) for k, v in t]) for p, n, t in events], "position long, name string, tags array<struct<key:binary,value:binary>>")
+    choices = [[], [("id", "3")], [("id", "7")], [("region", "EU")], [("region", "EU"), ("id", "5")], [("id", "5"), ("id", "6")], [("id", "none")]]
+    conditions = [(f"c{i}", r.choice([-1, 0, 1, 50, 63, 64, 200, 398, 399, 1000]), j, r.choice(choices), r.choice([[], ["Hot"], ["N1", "N2"], ["N1", "Hot"], ["none"]])) for i in range(150) for j in range(r.randint(1, 2))]
+    markers = {c: m for c, m, *_ in conditions}
+    conditions = [(c, markers[c], *rest) for c, _, *rest in conditions]
+    want = {}
+    for c, m, _, tags, names in conditions:
+        hit = min((p for p, n, t in events if p > m and set(tags) <= set(t) and (not names or n in names)), default=None)
+        want[c] = min((x for x in (hit, want.get(c)) if x), default=None)
+    frame = spark.createDataFrame([(c, m, j, [Tag.of(*t).fkey for t in tags], names) for c, m, j, tags, names in conditions], "cond_id string, marker long, crit_id int, fkeys array<string>, names array<string>")
+    assert {x["cond_id"]: x["conflict"] for x in dcb.conflicts(frame, postings.build(log, 64), 64).collect()} == want
