@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import sliced, table, texts_of, written
-from .encoding import encoder, strings
+from .encoding import encoder, with_end
 
 CAPACITY = 2048
 VOCABULARY, END = "byte_bpe_50k.json", 0
@@ -140,19 +140,17 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity:
         from pyspark import TaskContext
 
         encode, seen, part = encoder(vocabulary, "<u4", False), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        tail = np.array([end], "<u4").tobytes()
         for batch in (piece for b in batches for piece in sliced(b, "text", 4 << 20)):
             rows, piece, start, length, sums = [], [], [], [], []
-            for k, made in enumerate(encode.ids(strings(batch["text"]))):
-                ids = made + tail
-                total = len(ids) // 4
+            ids, off = with_end(*encode.ids(batch["text"]), end)
+            for k, (first, total) in enumerate(zip(off.tolist(), np.diff(off).tolist(), strict=False)):
                 edges = [0, *range(total % capacity or capacity, total + 1, capacity)]
                 for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     rows.append(k)
                     piece.append(i)
                     start.append(a)
                     length.append(b - a)
-                    sums.append(zlib.crc32(ids[4 * a : 4 * b]))
+                    sums.append(zlib.crc32(ids[first + a : first + b]))
             lengths = np.array(length, np.int64)
             order = np.argsort(lengths, kind="stable")
             ordered = lengths[order]

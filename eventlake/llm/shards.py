@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, parts, shared_path, sliced, table, texts_of
-from .encoding import encoder, strings
+from .encoding import encoder, with_end
 
 MAGIC = b"IDSH0001"
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -156,15 +156,14 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
         from pyspark import TaskContext
 
         encode, shard, number = encoder(vocabulary, dtype, word_level), None, 0
-        tail = np.array([end], dtype).tobytes()
-        width = len(tail)
+        width = np.dtype(dtype).itemsize
         for batch in (piece for b in batches for piece in sliced(b, "text", 4 << 20)):
             if shard is None:
                 name = f"{folder}/{TaskContext.get().partitionId():06d}-{number:04d}-{uuid.uuid4().hex}"
                 shard, ids, null, lengths = opened(name + ".ids", "wb"), [], [], []
-            made = [m + tail for m in encode.ids(strings(batch["text"]))]
-            shard.write(b"".join(made))
-            lengths.append(np.array([len(m) // width for m in made], np.int64))
+            made, off = with_end(*encode.ids(batch["text"]), end)
+            shard.write(made.tobytes())
+            lengths.append(np.diff(off))
             ids.append(np.asarray(batch["doc_id"].fill_null(0)))
             null.append(np.asarray(batch["doc_id"].is_null()))
             if sum(int(n.sum()) for n in lengths) * width >= shard_bytes:
