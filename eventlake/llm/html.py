@@ -5,7 +5,9 @@ nor in a part of the page that is boilerplate by its element or by its class, id
 windows of lines. A stretch of windows above the dive threshold is text if one of them reaches the surge threshold, and
 its lines are kept; of several such stretches those of any real weight beside the largest are kept. Where article and main
 elements hold most of the page's text, their lines weigh more and their links count; text outside still counts, and
-elsewhere these elements mean nothing. Lines of length 0 between surge and dive are no text and go.
+elsewhere these elements mean nothing. Lines of length 0 between surge and dive are no text and go, but for paragraphs that
+are links as a whole. A name of several words is boilerplate only where all its words are, or mean nothing of their own, and
+never above the only article of a page; the header of an article belongs to it.
 
 Defined results: a null or empty html has an empty text; broken, unclosed or cut off markup is read as far as it goes;
 null ids and repeated rows are rows like others; an empty table gives no rows; other columns are ignored.
@@ -14,6 +16,7 @@ null ids and repeated rows are rows like others; an empty table gives no rows; o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -41,13 +44,15 @@ MARKED = 10
 #: A stretch is kept if its weight is this part of the largest one's length.
 SHARE = 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words that stand beside those without a meaning of their own.
+NEUTRAL = frozenset("site page main top bottom left right side global primary secondary block box list item items area section wrapper wrap container inner outer slot unit bar links link buttons button icons icon group panel post posts article articles entry form text title content header head by more see also the to of and for wp js app ui col row grid desktop mobile sticky fixed small large default".split())
 
 
 def marked(attributes: str) -> bool:
-    """Whether an element's attributes say that it isn't main text."""
+    """Whether an element's attributes say that it isn't main text: a name all of whose words are of boilerplate or neutral."""
     for name, a, b, c in _MARK.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden":
@@ -55,19 +60,24 @@ def marked(attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
+            continue
         for token in value.split():
-            words = [w.lower() for w in _WORD.findall(token)]
-            if words and words[0] not in ("with", "has", "no", "without", "is", "not") and BOILERPLATE.intersection(words):
+            words = {w.lower() for w in _WORD.findall(token)}
+            if words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL:
                 return True
     return False
 
 
-def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
-    """The page's lines: text, length, length with the links of article and main elements, and whether it stands in one."""
-    text, length, whole, inside = [], [], [], []
+def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool], list[bool]]:
+    """The page's lines: text, length, length with the links of article and main elements, whether it stands in one, and
+    whether it is a paragraph of nothing but links."""
+    text, length, whole, inside, links = [], [], [], [], []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate from here, article from here
-    good, more, linked, quiet, core = 0, 0, 0, 0, 0
+    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate from here, article from here, named before
+    opened: Counter = Counter()
+    good, more, linked, quiet, named, core, block = 0, 0, 0, 0, 0, 0, ""  # quiet: by element, named: by class, id or role
+    small = html.lower()
+    alone = small.count("<article") <= 1 and small.count("<main") <= 1  # else articles may be teasers
 
     def close() -> None:
         nonlocal good, more
@@ -77,13 +87,14 @@ def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
             length.append(len(joined) if good else 0)
             whole.append(len(joined) if good or more else 0)
             inside.append(core > 0)
+            links.append(block == "p" and not good)
         words.clear()
         good = more = 0
 
     def say(piece: str) -> None:
         nonlocal good, more
         if piece:
-            if quiet:
+            if quiet or named:
                 return
             words.append(piece)
             if not piece.isspace():
@@ -93,14 +104,16 @@ def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
                     more += len(piece.strip())
 
     def leave(element: str) -> None:
-        nonlocal quiet, core, linked
-        if not any(s[0] == element for s in stack):
+        nonlocal quiet, named, core, linked
+        if not opened[element]:
             return
         while stack:
-            name, silent, article = stack.pop()
+            name, silent, article, before = stack.pop()
+            opened[name] -= 1
             quiet -= silent
             core -= article
             linked -= name == "a"
+            named = before
             if name == element:
                 break
 
@@ -114,14 +127,16 @@ def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
         if m[1]:
             if name in BLOCKS:
                 close()
+                block = ""
             leave(name)
             continue
         if name in BLOCKS or name in SILENT:
             close()
+            block = name
         elif name in INLINE_BREAKS:
             say(" ")
         if name == "p" or name in BLOCKS and name[0] == "h" and name[1:].isdigit():
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "u", "span", "font", "small", "a") and any(s[0] == "p" for s in stack):
+            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "u", "span", "font", "small", "a") and opened["p"]:
                 leave(stack[-1][0])
         elif name == "li" and any(s[0] == "li" for s in stack[-3:]):
             leave("li")
@@ -132,13 +147,18 @@ def lines(html: str) -> tuple[list[str], list[int], list[int], list[bool]]:
         if name not in VOID and not m[3].endswith("/"):
             article = name in ("article", "main")
             core += article
-            silent = name in SILENT or name in ASIDE or name not in WHOLE and marked(m[3])
+            before, silent = named, name in SILENT or name in ASIDE and not (name == "header" and opened["article"] + opened["main"])
+            if article and alone:
+                named = 0  # no name above the page's article makes it boilerplate
+            elif not silent and name not in WHOLE and marked(m[3]):
+                named += 1
             quiet += silent
             linked += name == "a"
-            stack.append((name, silent, article))
+            opened[name] += 1
+            stack.append((name, silent, article, before))
     say(html[at:])
     close()
-    return text, length, whole, inside
+    return text, length, whole, inside, links
 
 
 def stretches(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -163,7 +183,7 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
     if not html:
         return ""
     text, *columns = lines(html)
-    length, whole, inside = (np.array(c, np.int64) for c in columns)
+    length, whole, inside, links = (np.array(c, np.int64) for c in columns)
     plain = length if length.any() else whole
     weight = length
     if 2 * (plain * inside).sum() > plain.sum():
@@ -171,7 +191,7 @@ def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> s
         weight = length * np.where(inside, MARKED, 1)
     found = stretches(weight, window)
     most = max((length[a:b].sum() for a, b in found), default=0)
-    return "\n".join(text[i] for a, b in found if weight[a:b].sum() >= share * most for i in range(a, b) if length[i])
+    return "\n".join(text[i] for a, b in found if weight[a:b].sum() >= share * most for i in range(a, b) if length[i] or links[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
