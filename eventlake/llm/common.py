@@ -162,7 +162,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """64-bit polynomial hashes of any byte ranges of a buffer, from one prefix sum."""
+    """64-bit polynomial hashes of any byte ranges of a buffer, from one prefix sum. Ranges can be made that share one: these
+    are for features and for choosing places, `hashed` is for telling what is equal."""
 
     def __init__(self, buf: np.ndarray):
         up, self._down = _power(len(buf) + 1)

@@ -28,17 +28,29 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def repeated(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each (row, key) occurs, for each of them."""
-    _, where, n = np.unique(mixed(keys + rows.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_inverse=True, return_counts=True)
-    return n[where]
+def coded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each byte range; equal bytes and only they have equal numbers."""
+    size = ends - starts
+    off = np.concatenate([[0], np.cumsum(size)])
+    data = buf[np.repeat(starts - off[:-1], size) + np.arange(off[-1])]
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(data)])
+    return np.asarray(held.dictionary_encode().indices).astype(np.int64)
+
+
+def repeated(*keys: np.ndarray) -> np.ndarray:
+    """Which places have keys that occur at several places. Groups are made by hashes and then compared."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    _, first, where, n = np.unique(chained([k.astype(np.uint64) for k in keys]), return_index=True, return_inverse=True, return_counts=True)
+    if not all((k == k[first[where]]).all() for k in keys):  # two share a hash
+        _, where, n = np.unique(np.stack(keys), axis=1, return_inverse=True, return_counts=True)
+    return n[where.ravel()] > 1
 
 
 def counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts of every text of a batch."""
     n = len(off) - 1
     per = lambda rows, w=None: np.bincount(rows, w, minlength=n).astype(np.int64)
-    hashes = Hashes(buf)
     start, end, row = words(buf, off)
     letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     out = {"n_words": per(row), "word_chars": per(row, letters[end] - letters[start])}
@@ -51,16 +63,14 @@ def counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     inside = np.concatenate([[0], np.cumsum(~white(buf))])
     full = (inside[stop] > inside[lines]) & (line_row < n)
     lines, stop, line_row = lines[full], stop[full], line_row[full]
-    key = mixed(hashes.of(lines, stop) + line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    first = np.zeros(len(key), bool)
-    first[np.unique(key, return_index=True)[1]] = True
+    first = np.zeros(len(lines), bool)
+    first[np.unique(coded(buf, lines, stop) * n + line_row, return_index=True)[1]] = True
     out["n_dup_lines"] = per(line_row[~first])
     twice = np.zeros(len(row), bool)
     if len(row) > 2:
-        word = hashes.of(start, end)
-        same = row[:-2] == row[2:]
-        at = np.flatnonzero(same)
-        again = at[repeated(row[at], chained([word[at], word[at + 1], word[at + 2]])) > 1]
+        word = coded(buf, start, end)
+        at = np.flatnonzero(row[:-2] == row[2:])
+        again = at[repeated(row[at], word[at], word[at + 1], word[at + 2])]
         for k in range(3):
             twice[again + k] = True
     out["n_repeat_words"] = per(row[twice])
@@ -96,40 +106,46 @@ def averaged(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Weights, bias and calibration from at most `rows` labelled documents, those of the smallest hashes. The rows of the
-    sample are broadcast; every fifth of them is kept out of the fit and calibrates it."""
+    sample are broadcast; a fifth of them, by hash, is kept out of the fit and calibrates it."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("quality").cast("int").alias("y")).dropna().dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(rows)
     joined = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["key"]).select("doc_id", "text", "y")
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, ids = features(*flat(batch["text"]))
         key, n = np.unique(row * DIMENSIONS + ids, return_counts=True)
-        cut = np.searchsorted(key, np.arange(batch.num_rows + 1) * DIMENSIONS)
+        of = key // DIMENSIONS
+        share = np.sqrt(n / np.bincount(of, n, minlength=batch.num_rows)[of])  # square roots of shares: unit vectors
+        cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
         lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, t))
-        return pa.record_batch([batch["doc_id"], batch["y"], lists(key % DIMENSIONS, pa.int32()), lists(n, pa.int32())], ["doc_id", "y", "ids", "n"])
+        return pa.record_batch([batch["doc_id"], batch["y"], lists((key % DIMENSIONS).astype(np.int16), pa.int16()), lists(share.astype(np.float32), pa.float32())], ["doc_id", "y", "ids", "share"])
 
-    found = map_texts(joined, vectors, "doc_id long, y int, ids array<int>, n array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    found = map_texts(joined, vectors, "doc_id long, y int, ids array<short>, share array<float>").toArrow()  # at most `rows` rows
     model = {"w": np.zeros(DIMENSIONS), "b": 0.0, "scale": 0.0, "shift": 10.0}
-    y = np.asarray(found["y"], dtype=np.float64)
+    y, doc_id = found["y"].to_numpy().astype(np.float64), found["doc_id"].to_numpy()
     if not len(y) or y.min() == y.max():
         return model
-    lists = found["ids"].combine_chunks()
-    size = np.diff(np.asarray(lists.offsets))
-    ids, n = np.asarray(lists.flatten()), np.asarray(found["n"].combine_chunks().flatten(), dtype=np.float64)
-    row = np.repeat(np.arange(len(y)), size)
-    x = np.sqrt(n / np.bincount(row, n, minlength=len(y))[row])  # square roots of shares: unit vectors
-    test = np.arange(len(y)) % 5 == 4
+    blocks, before = [], 0  # (first row, rows, row of each value, feature, value), so that no array is as long as the sample
+    for ids, share in zip(found["ids"].chunks, found["share"].chunks, strict=True):
+        blocks.append((before, len(ids), np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(np.asarray(ids.offsets))), np.asarray(ids.flatten()), np.asarray(share.flatten())))
+        before += len(ids)
+
+    def margins(w, b):
+        return np.concatenate([np.bincount(row, x * w[ids], minlength=n) for _, n, row, ids, x in blocks]) + b
+
+    test = mixed(doc_id.view(np.uint64), 31) % np.uint64(5) == 4
     test = np.zeros(len(y), bool) if len(y) < 50 else test
     w, b, grad2 = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-4)
     b2, balance = 1e-4, np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * ~test / max(1, (~test).sum())
     for _ in range(80):
-        z = np.bincount(row, x * w[ids], minlength=len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        g = np.bincount(ids, e[row] * x, minlength=DIMENSIONS) + 1e-6 * w
+        e = (1 / (1 + np.exp(-np.clip(margins(w, b), -40, 40))) - y) * balance
+        g = 1e-6 * w
+        for at, n, row, ids, x in blocks:
+            g += np.bincount(ids, e[at : at + n][row] * x, minlength=DIMENSIONS)
         grad2 += g * g
         b2 += e.sum() ** 2
         w -= 1.0 * g / np.sqrt(grad2)
         b -= 0.5 * e.sum() / np.sqrt(b2)
-    z = np.bincount(row, x * w[ids], minlength=len(y)) + b
+    z = margins(w, b)
     return {"w": w, "b": b} | calibrate(z[test], y[test], z, y)
 
 
