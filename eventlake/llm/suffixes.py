@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, chained, flat, ids_unique, input_bytes, map_texts, mixed, parts, released, signed, table, texts_of, unique_ids, written
+from .common import Hashes, chained, flat, hashed, ids_unique, input_bytes, map_texts, mixed, parts, released, signed, table, texts_of, unique_ids, written
 
 LENGTH, GRAM = 100, 64
 #: Text bytes worked on at once; a record for each of some 20 bytes.
@@ -80,7 +80,7 @@ def anchor_records(buf: np.ndarray, off: np.ndarray, uid: np.ndarray, length: in
     hashes = Hashes(buf)
     at, row, h = anchors(buf, off, hashes, length, gram)
     left, right = np.minimum(at - off[row], length - gram), np.minimum(off[row + 1] - at, length)
-    return _lead(buf, at, h), chained([hashes.of(at - left, at + right), left.astype(np.uint64)]), uid[row], at - off[row]
+    return _lead(buf, at, h), chained([hashed(buf, at - left, at + right), left.astype(np.uint64)]), uid[row], at - off[row]
 
 
 def string_records(buf: np.ndarray, off: np.ndarray, uid: np.ndarray, judged: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -97,7 +97,7 @@ def string_records(buf: np.ndarray, off: np.ndarray, uid: np.ndarray, judged: np
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     of = np.searchsorted(off, starts, side="right") - 1
     h = hashes.of(starts, starts + length)
-    return _lead(buf, starts, mixed(h, 3)), h, uid[of], starts - off[of]
+    return _lead(buf, starts, mixed(h, 3)), hashed(buf, starts, starts + length), uid[of], starts - off[of]
 
 
 def _place(uid: np.ndarray, pos: np.ndarray) -> np.ndarray:
