@@ -69,10 +69,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
         return pa.record_batch([batch["doc_id"], batch["y"], pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32()))], ["doc_id", "y", "at"])
 
-    rows_of = map_texts(rows_in, active, "doc_id long, y int, at array<int>").toArrow().combine_chunks().sort_by("doc_id")
-    lists = rows_of["at"].combine_chunks()
-    y = (np.asarray(rows_of["y"]) > 0).astype(np.float64)
-    return machine(np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()), y)
+    found = map_texts(rows_in, active, "doc_id long, y int, at array<int>").toArrow()  # at most `rows` rows
+    y, order = (found["y"].to_numpy() > 0).astype(np.float64), np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    chunks = found["at"].chunks
+    cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.asarray(c.offsets)) for c in chunks]))])
+    at = np.concatenate([np.asarray(c.flatten()) for c in chunks])
+    del found, chunks
+    return machine(cut, at, y, order)
 
 
 def slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,29 +106,35 @@ def margins(row: np.ndarray, at: np.ndarray, n: int, model: dict) -> np.ndarray:
     return z
 
 
-def machine(row: np.ndarray, at: np.ndarray, y: np.ndarray, factors: int = FACTORS, steps: int = 300, passes: int = 8, seed: int = 5) -> dict:
+def machine(cut: np.ndarray, at: np.ndarray, y: np.ndarray, order: np.ndarray, factors: int = FACTORS, steps: int = 300, passes: int = 8, seed: int = 5) -> dict:
     """Weights and vectors by AdaGrad on the logistic loss, kinds balanced, in batches; weights shrink by L1, vectors by L2.
-    Every fifth row calibrates and isn't fitted."""
+    Row i has the slots at[cut[i] : cut[i + 1]]. Every fifth row in `order` calibrates and isn't fitted. No array but `at` and
+    what the batches need of it is as long as the sample."""
     n, size, random = len(y), 1 << SLOT_BITS, np.random.default_rng(seed)
     test = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
-    of, toxic = np.bincount(at, minlength=size), np.bincount(at, y[row], minlength=size)
+    of, toxic = np.zeros(size), np.zeros(size)
+    for a in range(0, n, 8 * BATCH):
+        part = at[cut[a] : cut[min(n, a + 8 * BATCH)]]
+        of += np.bincount(part, minlength=size)
+        toxic += np.bincount(part, np.repeat(y[a : a + 8 * BATCH], np.diff(cut[a : a + 8 * BATCH + 1])), minlength=size)
     chi = n * (toxic * n - of * y.sum()) ** 2 / np.maximum(of * y.sum() * (n - y.sum()), 1e-9) / (n - of + 1.0)
     common = of / (of + HALF_ROWS) * np.sqrt(1 - of / n)
     scale = np.column_stack([common * (chi + 2) / (chi + HALF_CHI), *[common] * factors]).astype(np.float32)
-    whole = np.maximum(np.bincount(row, common[at] ** 2, minlength=n), 1e-3).astype(np.float32)
+    whole = np.concatenate([np.bincount(np.repeat(np.arange(len(own) - 1), np.diff(own)), common[at[own[0] : own[-1]]] ** 2, minlength=len(own) - 1) for own in (cut[a : a + BATCH + 1] for a in range(0, n, BATCH))])
+    whole = np.maximum(whole, 1e-3).astype(np.float32)
     own = np.column_stack([np.zeros(size), random.normal(0, 0.01, (size, factors))]).astype(np.float32)  # weight, vector
     rate = np.array([0.2] + [0.1] * factors, np.float32)
     shrink, least = np.array([0.0] + [1e-3] * factors, np.float32), 3e-4
     square, b, b_square = np.full_like(own, 1e-8), 0.0, 1e-8
-    learned = random.permutation(np.flatnonzero(~test))
+    learned = order[random.permutation(np.flatnonzero(~test))]
     balance = np.where(y > 0, 0.5 / max(y[learned].mean(), 1e-9), 0.5 / max(1 - y[learned].mean(), 1e-9))
-    cut, batches = np.searchsorted(row, np.arange(n + 1)), []
+    batches = []
     for a in range(0, len(learned), BATCH):
         rows = learned[a : a + BATCH]
         many = cut[rows + 1] - cut[rows]
         starts = np.concatenate([[0], np.cumsum(many)])
         used, which = np.unique(at[np.repeat(cut[rows] - starts[:-1], many) + np.arange(starts[-1])], return_inverse=True)
-        by_slot = np.repeat(np.arange(len(rows), dtype=np.int32), many)[np.argsort(which, kind="stable")]
+        by_slot = np.repeat(np.arange(len(rows), dtype=np.uint8), many)[np.argsort(which, kind="stable")]
         batches.append((rows, starts, used, which.astype(np.int32), by_slot, np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(used)))])))
     for step in range(max(steps, passes * len(batches))):
         rows, starts, used, which, by_slot, ends = batches[step % len(batches)]
@@ -147,8 +156,12 @@ def machine(row: np.ndarray, at: np.ndarray, y: np.ndarray, factors: int = FACTO
         b -= rate[0] * float(e.sum()) / b_square**0.5
     fitted = own * scale
     model = {"terms": np.flatnonzero(of), "w": fitted[:, 0], "v": fitted[:, 1:], "size": (common**2).astype(np.float32), "b": b}
-    z = margins(row, at, n, model)
-    return model | calibrate(z[test], y[test], z, y)
+    kept = order[test]
+    if not len(kept) or y[kept].min() == y[kept].max():
+        kept = order
+    many = np.diff(cut)[kept]
+    z = margins(np.repeat(np.arange(len(kept)), many), at[np.repeat(cut[kept] - (np.cumsum(many) - many), many) + np.arange(many.sum())], len(kept), model)
+    return model | calibrate(z, y[kept], z, y[kept])
 
 
 def probability(buf: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
