@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventlake.llm import html, media, mixing, packing, pii, quality, shards, toxicity
@@ -62,6 +63,39 @@ def test_html_without_marked_article():
     assert html.main_text(f"<main>{long}{links}<p>The end of it.</p></main>").endswith("link\nThe end of it.")
 
 
+def test_html_names_and_broken_markup():
+    long = "words of an article that goes on and on " * 6
+    p, want = f"<p>{long}</p>", long.strip()
+    assert html.main_text(f"<div class='content-with-sidebar'>{p}{p}</div>") == f"{want}\n{want}"
+    assert html.main_text(f"<div id='page-sidebar-wrapper'><article>{p}</article></div>") == want
+    assert html.main_text(f"{p}<p class='share-price'>The price was 10.</p>{p}") == f"{want}\nThe price was 10.\n{want}"
+    assert html.main_text(f"<p title=don't>{long}</p>{p}") == f"{want}\n{want}"
+    assert html.main_text(f'<p title="unclosed>{long}</p>{p}').endswith(want)
+    assert html.main_text(f"{p}<p><a href=x>A link.</a></p>{p}") == f"{want}\nA link.\n{want}"
+    assert html.main_text(f"<article><header><h1>Headline</h1></header>{p}</article>") == f"Headline\n{want}"
+    assert html.main_text(f"<div class='sidebar'>{p}</div><div id='comments-list'>{p}</div>{p}") == want
+
+
+def test_html_windows_decide():
+    """Without windows, all lines of some length would stay."""
+    long = "".join(f"<p>Paragraph {i} {'goes on and on with words ' * 8}</p>" for i in range(6))
+    page = f"<div>Login</div><div>Home</div><div><a href=x>a</a></div><div><a href=x>b</a></div><div><a href=x>c</a></div>{long}<div><a href=x>d</a></div><div><a href=x>e</a></div><div><a href=x>f</a></div><div>Imprint</div>"
+    got = html.main_text(page)
+    assert got.startswith("Paragraph 0") and "Imprint" not in got and "Login" not in got and got.count("\n") == 5
+    assert sum(n > 0 for n in html.lines(page)[1]) == 9
+
+
+def test_html_is_linear():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        start = time.perf_counter()
+        html.main_text("<div>" * n + "</p>" * n + "x")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_html_template(tag):
     """Pages of sf0.01 as they are and without their article elements, against a reading of the template."""
@@ -135,12 +169,60 @@ def test_quality_counts(spark, docs):
     assert quality.score(texts_of(docs), model).count() == len(ROWS)
 
 
+def thue_morse(n):
+    """Two different strings of 2 ** n letters that every polynomial hash modulo 2 ** 64 takes for one."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_quality_compares_bytes():
+    from eventlake.llm.common import flat
+
+    a, b = thue_morse(11)
+    texts = [f"{a}\n{b}", f"{a}\n{a}", f"{a} x y {b} x y", f"{a} x y {a} x y"]
+    got = quality.counts(*flat(pa.array(texts)))
+    assert got["n_dup_lines"].tolist() == [0, 1, 0, 0] and got["n_repeat_words"].tolist() == [0, 0, 0, 6]
+    assert quality.repeated(np.array([1, 1, 2]), np.array([5, 5, 5])).tolist() == [True, True, False]
+
+
+def test_quality_keeps_what_labels_call_good(spark):
+    """The verdict on rows that were not learned from."""
+    r, rows = random.Random(5), []
+    for i in range(900):
+        good = i % 2
+        rows.append((i, " ".join(r.choice(["river", "stone", "and", "the", "walks", "slowly"] if good else ["buy", "now", "click", "cheap", "and", "the"]) + str(r.randrange(60)) for _ in range(80)), good))
+    df = texts_of(spark.createDataFrame(rows, "doc_id long, text string, q int"))
+    model = quality.fit(df, spark.createDataFrame([(i, q) for i, _, q in rows if i < 600], "doc_id long, quality int"))
+    got = [x["kept"] == bool(rows[x["doc_id"]][2]) for x in quality.score(df, model).collect() if x["doc_id"] >= 600]
+    assert sum(got) / len(got) > 0.95
+
+
+@pytest.mark.parametrize(("name", "dtype", "word_level"), [("word_bpe_49k.json", "<u2", True), ("byte_bpe_50k.json", "<u4", False)])
+def test_encoder(name, dtype, word_level):
+    """Against the library on whole texts, with its special strings and every kind of white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from eventlake.llm import encoding
+
+    r = random.Random(4)
+    parts = ["a", "the", "Word", "don't", "l'eau", "S'", "'s", "'S", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "\u2028", "é", "É", "ß", "ö", "×", "ª", "漢", "🙂", "e\u0301", "İ", "1", "23", "½", "_", "-", "!!", "$", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "\x00", "'re", "’s", "I'LL"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["", " ", "\n"]
+    texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(9, 13), r.randint(0xA0, 0x17F), r.randint(0x2000, 0x2030)])) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(texts, add_special_tokens=False)]
+    encode = encoding.Encoder(public_tokenizers.path(name), dtype, word_level)
+    for at in range(0, len(texts), 700):
+        ids, off = encode.ids(pa.array(texts[at : at + 700]))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want[at : at + 700]
+
+
 def test_shards_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     at = shards.write_shards(texts_of(docs), shard_bytes=64)
     got = sorted(shards.read_shards(spark, at).collect(), key=lambda r: r["start"])
     rows = sorted(((d, x or "") for d, x, _ in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -178,6 +260,11 @@ def test_personal_data():
     made = pii.examples(800, seed=99)  # other examples than those of the fit
     right = sum(bool([s for s in pii.spans([t], *model)[0][1] if s[1] < b and s[2] > a]) == bool(y) for t, a, b, _, y in made)
     assert right / len(made) > 0.85
+    held = pii.examples(1500, seed=98, held=True)  # other templates than those of the fit
+    taken = [(bool([s for s in pii.spans([t], *model)[0][1] if s[1] < b and s[2] > a]), y) for t, a, b, _, y in held]
+    assert sum(y for hit, y in taken if hit) / sum(hit for hit, _ in taken) > 0.96 and sum(hit for hit, y in taken if y) / sum(y for _, y in taken) > 0.85
+    text = 'see token = "27660c51feb63980dfaee7464f96210544c03fc3" here, not the token of thanks, nor commit 27660c51feb63980dfaee7464f96210544c03fc3'
+    assert [s[0] for s in pii.spans([text], *model)[0][1]] == ["secret"] and "27660" not in pii.blacked(text[:60], pii.spans([text[:60]], *model)[0][1])
     assert pii.blacked("mail a@b.cc now", pii.base("mail a@b.cc now")) == "mail [EMAIL] now"
     assert pii.spans(["1" * 100_000 + " " + "a" * 100_000 + "@", ""], *model)[1] == ([], [])
 
@@ -194,7 +281,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(texts_of(docs)).collect()
     want = collections.Counter()
     for d, x, _ in ROWS:
