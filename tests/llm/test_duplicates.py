@@ -44,6 +44,20 @@ def test_suffix_dedup_edges(spark):
     assert got == [(1, 300, 0), (1, 300, 0), (2, 300, 300)]  # rows alike are one document
 
 
+def test_suffix_dedup_without_table_and_in_many_buckets(spark, monkeypatch):
+    """The anchors to judge are joined where the bit table is too small, and one string fills many buckets."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    hot, other = text(300), text(260)
+    rows = [(i, text(r.randint(0, 40)) + (hot if i % 3 == 0 else other[i % 100 :]) + text(r.randint(0, 40))) for i in range(60)] + [(500, text(3_000) + hot + text(3_000))]
+    want = collections.Counter(removed(rows))
+    frame = texts_of(spark.createDataFrame(rows, DOCS))
+    monkeypatch.setattr(suffixes, "BUCKET", 200_000)
+    assert collections.Counter(tuple(x) for x in suffixes.digests(frame).collect()) == want
+    monkeypatch.setattr(suffixes, "bit_table", lambda keys: None)
+    assert collections.Counter(tuple(x) for x in suffixes.digests(frame).collect()) == want
+
+
 def linked(rows, k=4, percent=85):
     sets, label = {}, {}
     for d, t in rows:
@@ -77,6 +91,69 @@ def test_ngram_join(spark):
     assert sorted(map(tuple, got.collect())) == linked(rows)
 
 
+def test_ngram_join_in_blocks(spark):
+    """Buckets of few sets a block: what blocks of a bucket have in common is found too."""
+    rows = near_copies(7)
+    got = jaccard.components(texts_of(spark.createDataFrame(rows, DOCS)), block=2).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == linked(rows)
+
+
+def test_ngram_join_of_many_near_copies(spark):
+    """A group of 2,000 in which most link and many do not, two passages in all of them, and a long text."""
+    r = random.Random(8)
+    base = [f"v{r.randrange(10_000)}" for _ in range(60)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for _ in range(r.choice([1, 1, 2, 4])):
+            own[r.randrange(len(own))] = f"n{r.randrange(100_000)}"
+        rows.append((i, " ".join(own)))
+    long = [f"u{r.randrange(50_000)}" for _ in range(60_000)]
+    rows += [(5000, " ".join(long)), (5001, " ".join([*long[:-300], "end"])), (5002, " ".join(long[:40_000]))]
+    got = sorted(map(tuple, jaccard.components(texts_of(spark.createDataFrame(rows, DOCS))).select("doc_id", "n_shingles", "component_id").collect()))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x] = label[label[x]]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a) >= 85 * len(sets[j]) and 100 * len(sets[j]) >= 85 * len(a) and find(i) != find(j) and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                label[y] = x
+    assert got == [(d, len(sets[i]), rows[find(i)][0]) for i, (d, _) in enumerate(rows)]
+
+
+def test_equality_is_of_bytes(spark):
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    other = s.translate(str.maketrans("ab", "ba"))  # equal to s for every polynomial hash modulo 2 ** 64
+    rows = [(1, s), (2, other), (3, s)]
+    got = jaccard.components(texts_of(spark.createDataFrame(rows, DOCS))).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    assert jaccard.ngrams(s.encode(), 4) != jaccard.ngrams(other.encode(), 4)
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 5, 80, 90, 400, 5000):
+        a = np.sort(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.sort(np.concatenate([a[n // 5 :], r.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        if not len(b):
+            continue
+        x, y = (jaccard.sketches(np.zeros(len(h), np.int64), h, np.array([len(h)]))[0].as_py() for h in (a, b))
+        x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in sorted((x, y), key=len))
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert (x != y).sum() <= n // 5 + n // 9
+
+
 def test_signatures_miss_no_link():
     """Every pair that links shares a signature, also where segments are empty."""
     import numpy as np
