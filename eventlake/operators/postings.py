@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.criteria import Condition, Criterion, name_key
@@ -32,6 +32,10 @@ def write(postings: DataFrame, path: str, distinct: int = 1 << 20) -> None:
     w.option("parquet.bloom.filter.enabled#fkey", "true").option("parquet.enable.dictionary#fkey", "false").option("parquet.bloom.filter.expected.ndv#fkey", str(distinct)).partitionBy("segment").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(F.col("segment").cast("long").alias("segment"), "fkey", "position", "name")
+
+
 def positions(postings: DataFrame, condition: Condition) -> DataFrame | None:
     """Matching positions by relational division on the postings; None where a criterion matches everything."""
     found = []

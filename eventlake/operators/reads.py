@@ -17,6 +17,17 @@ def source(log: DataFrame, condition: Condition, start: int = 1, committed: int
     return rows.where(condition.column()).drop("tags").orderBy("position")
 
 
+def with_offsets(spark, path: str) -> DataFrame:
+    """The events of stored files with where they stand: file and row_index in it."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def source_since(log: DataFrame, condition: Condition, timestamp: int) -> DataFrame:
+    """Matching events from the first position, by position, of an event at or after the time; none if there is none."""
+    start = sequence_at(log, timestamp).select(F.col("position").alias("from_here"))
+    return log.join(F.broadcast(start)).where((F.col("from_here") >= 0) & (F.col("position") >= F.col("from_here"))).where(condition.column()).drop("tags", "from_here").orderBy("position")
+
+
 def source_stored(log: DataFrame, condition: Condition, start: int = 1, limit: int | None = None) -> DataFrame:
     """With tags, and at most `limit` events; a limit under 1 still yields one."""
     rows = log.where((F.col("position") >= start) & condition.column()).orderBy("position")

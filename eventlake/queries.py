@@ -500,3 +500,187 @@ def error_codes(spark, sf_dir):
 def context_names(spark, sf_dir):
     n, r = adapters.table(spark, sf_dir, "nation"), adapters.table(spark, sf_dir, "region")
     return n.select(F.col("n_name").alias("name")).union(r.select(F.concat("r_name", F.lit(" x")))).select("name", F.col("name").rlike("^[A-Za-z0-9_-]{1,128}$").alias("valid"))
+
+
+_LIFECYCLE = """(select event_id as seq, epoch_us(ts) // 1000 as at, case event_type when 'error' then 'unregister' when 'signup' then 'remove_client' else 'register' end as op, 'Type' || (event_id % 7) as message_type, 'client-' || user_id as client_id from events)"""
+
+
+def _lifecycle(spark, sf_dir) -> DataFrame:
+    """Events as a log of handlers: clicks, views and purchases register, errors take one type back, signups remove the client."""
+    e = adapters.table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "unregister").when(F.col("event_type") == "signup", "remove_client").otherwise("register")
+    return e.select(F.col("event_id").alias("seq"), adapters.millis("ts").alias("at"), op.alias("op"), F.concat(F.lit("Type"), F.col("event_id") % 7).alias("message_type"), F.concat(F.lit("client-"), "user_id").alias("client_id"), F.concat(F.lit("component-"), F.col("user_id") % 3).alias("component_name"), (F.col("user_id") % 4).alias("load_factor"))
+
+
+@query(f"""select r.message_type, r.client_id, r.seq as reg_seq from {_LIFECYCLE} r where op = 'register'
+  and not exists (select 1 from {_LIFECYCLE} u where u.seq > r.seq and u.client_id = r.client_id and (u.op = 'remove_client' or u.op = 'unregister' and u.message_type = r.message_type))""")
+def live_handlers(spark, sf_dir):
+    return registry.handlers(_lifecycle(spark, sf_dir)).select("message_type", "client_id", "reg_seq")
+
+
+@query("""select 'client-' || user_id as client_id, arg_max(epoch_us(ts) // 1000, event_id) as connected_at from events group by 1 having arg_max(event_type, event_id) <> 'error'""")
+def connected_clients(spark, sf_dir):
+    ops = _lifecycle(spark, sf_dir)
+    return registry.connected(ops.withColumn("op", F.when(F.col("op") == "unregister", "unregister").otherwise("register"))).select("client_id", "connected_at")
+
+
+_SUBSCRIBED = """(select event_id as seq, epoch_us(ts) // 1000 as at_ms, case event_type when 'error' then 'cancel' when 'purchase' then 'complete' when 'signup' then 'remove_client' else 'open' end as op, 'sub-' || (event_id % 301) as subscription_id, 'client-' || user_id as client_id, 'client-' || (event_id * 7 % 90) as handler_client_id from events)"""
+
+
+def _subscribed(spark, sf_dir) -> DataFrame:
+    e = adapters.table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "signup", "remove_client").otherwise("open")
+    return e.select(F.col("event_id").alias("seq"), adapters.millis("ts").alias("at"), op.alias("op"), F.concat(F.lit("sub-"), F.col("event_id") % 301).alias("subscription_id"), F.concat(F.lit("client-"), "user_id").alias("client_id"), F.concat(F.lit("client-"), F.col("event_id") * 7 % 90).alias("handler_client_id"))
+
+
+_OPEN = f"""(select o.* from (select subscription_id, arg_max(op, seq) as op, arg_max(client_id, seq) as client_id, arg_max(handler_client_id, seq) as handler_client_id, arg_max(at_ms, seq) as opened_at, max(seq) as seq from {_SUBSCRIBED} where op <> 'remove_client' group by 1) o
+  where op = 'open' and not exists (select 1 from {_SUBSCRIBED} r where r.op = 'remove_client' and r.seq > o.seq and r.client_id in (o.client_id, o.handler_client_id)))"""
+
+
+@query(f"select subscription_id, client_id, handler_client_id, opened_at, seq from {_OPEN}")
+def subscriptions_of_clients(spark, sf_dir):
+    return registry.subscriptions(_subscribed(spark, sf_dir))
+
+
+@query(f"select count(*) as active, coalesce(max(((select max(epoch_us(ts) // 1000) from events) - opened_at) // 1000), 0)::bigint as oldest_s from {_OPEN}")
+def subscription_stats(spark, sf_dir):
+    ops = _subscribed(spark, sf_dir)
+    return registry.subscription_stats(registry.subscriptions(ops), F.lit(ops.agg(F.max("at")).first()[0]))
+
+
+@query(f"""select subscription_id, row_number() over (partition by subscription_id order by seq) as nth, seq < 0 as initial, payload from (
+  select subscription_id, 'initial ' || subscription_id as payload, -1 as seq from {_ACTIVE}
+  union all select a.subscription_id, e.props, e.event_id from events e join {_ACTIVE} a on a.subscription_id = 'sub-' || e.user_id where e.event_type = 'click' and e.event_id > a.seq)""")
+def initial_and_updates(spark, sf_dir):
+    ops = adapters.subscription_ops(spark, sf_dir)
+    active = registry.active_subscriptions(ops)
+    updates = adapters.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.concat(F.lit("sub-"), "user_id").alias("subscription_id"), F.col("event_id").alias("seq"), F.col("props").alias("payload"))
+    answers = active.select("subscription_id", F.concat(F.lit("initial "), "subscription_id").alias("payload"))
+    return registry.with_initial(answers, updates, active)
+
+
+@query("""with recursive o as (select user_id, event_id as seq, event_type in ('signup', 'purchase') as given, user_id % 3 + 1 as n, row_number() over (partition by user_id order by event_id) as k from events),
+  f as (select user_id, k, seq, given, (case when given then n else 0 end)::bigint as after, false as acquired from o where k = 1
+    union all select o.user_id, o.k, o.seq, o.given, (case when o.given then f.after + o.n else greatest(0, f.after - 1) end)::bigint, not o.given and f.after > 0 from f join o on o.user_id = f.user_id and o.k = f.k + 1)
+  select 'client-' || user_id as client_id, seq, after as "left", acquired from f where not given""")
+def permits_of_clients(spark, sf_dir):
+    """Signups and purchases grant permits to their user's client, every other event acquires one."""
+    e = adapters.table(spark, sf_dir, "events")
+    ops = e.select(F.concat(F.lit("client-"), "user_id").alias("client_id"), F.when(F.col("event_type").isin("signup", "purchase"), "grant").otherwise("acquire").alias("op"), (F.col("user_id") % 3 + 1).alias("permits"), F.col("event_id").alias("seq"))
+    return registry.permits(ops, ["client_id"])
+
+
+def _granted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations' turns as queries in order; each handler has five permits at first and seven more from the 90th on."""
+    asked = numbered(adapters.table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], "arrival").select("arrival", F.concat(F.lit("Command"), F.col("conv_id") % 6).alias("name"))
+    own = adapters.handlers(spark, sf_dir)
+    grants = own.select("client_id", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("arrival"), F.lit(5).alias("permits")), F.struct(F.lit(90).cast("long").alias("arrival"), F.lit(7).alias("permits")))).alias("g")).select("client_id", "g.permits", "g.arrival")
+    return asked, own, grants
+
+
+_ASKED = """(select row_number() over (order by conv_id, turn) as arrival, 'Command' || (conv_id % 6) as name from conversations)"""
+
+
+@query(f"""with q as (select *, row_number() over (partition by name order by arrival) as k, count(*) filter (arrival < 90) over (partition by name) as early from {_ASKED}),
+  g as (select q.arrival, q.name, h.client_id, case when q.arrival < 90 then k <= 5 else k - early <= greatest(0, 5 - early) + 7 end as got from q join {_HANDLERS} h on h.message_type = q.name)
+  select arrival, name, 'DISPATCHED' as outcome, client_id from g where got union all select arrival, name, 'NO_PERMITS', '' from g group by 1, 2 having not bool_or(got)
+  union all select arrival, name, 'NO_HANDLER', '' from q where name not in (select message_type from {_HANDLERS})""")
+def scatter_with_permits(spark, sf_dir):
+    return bus.scatter_with_permits(*_granted(spark, sf_dir))
+
+
+@query()
+def first_with_permit(spark, sf_dir):
+    return bus.first_with_permit(*_granted(spark, sf_dir))
+
+
+_REPORTED = """(select event_id as seq, 'proc-' || (event_id % 5) as processor_name, 'client-' || user_id as client_id, 'store-' || (user_id % 2) as token_store_identifier, case when event_id % 4 = 0 then 'subscribing' else 'tracking' end as mode, event_id % 9 as active_threads from events where event_type <> 'error')"""
+
+
+@query(f"""with l as (select processor_name, client_id, max(seq) as seq, arg_max(token_store_identifier, seq) as token_store_identifier, arg_max(mode, seq) as mode, arg_max(active_threads, seq) as active_threads from {_REPORTED} group by 1, 2),
+  k as (select * from l where not exists (select 1 from events e where e.event_type = 'error' and 'client-' || e.user_id = l.client_id and e.event_id > l.seq))
+  select processor_name, token_store_identifier, arg_min(mode, seq) as mode, count(*) as instances, string_agg(client_id, ',' order by client_id) as clients, sum(active_threads)::bigint as active_threads from k group by 1, 2""")
+def aggregated_processors(spark, sf_dir):
+    """Reports of processors; an error removes its user's client."""
+    e = adapters.table(spark, sf_dir, "events")
+    client = F.concat(F.lit("client-"), "user_id").alias("client_id")
+    log = e.where("event_type <> 'error'").select(F.col("event_id").alias("seq"), F.concat(F.lit("proc-"), F.col("event_id") % 5).alias("processor_name"), client, F.concat(F.lit("store-"), F.col("user_id") % 2).alias("token_store_identifier"), F.when(F.col("event_id") % 4 == 0, "subscribing").otherwise("tracking").alias("mode"), (F.col("event_id") % 9).alias("active_threads"))
+    removed = e.where("event_type = 'error'").select(client, F.col("event_id").alias("seq"))
+    return registry.aggregated(registry.reports(log, removed)).withColumn("clients", F.concat_ws(",", "clients"))
+
+
+_STORE_OPS = """(select case user_id % 6 when 0 then 'append' when 1 then 'source' when 2 then 'index_read' when 3 then 'bloom_check' when 4 then 'map_read' else 'rotation' end as op, user_id % 5 as events, cast(trunc(value * 10) as bigint) as duration_us, event_id % 3 = 0 as hit, event_id % 11 = 0 as rejected, event_id % 2 = 0 as seek from events)"""
+
+
+@query(f"""with a as (select count(*) filter (op = 'append' and not rejected) as appends, coalesce(sum(events) filter (op = 'append' and not rejected), 0)::bigint as events_appended, count(*) filter (op = 'append' and rejected) as dcb_violations, coalesce(sum(duration_us) filter (op = 'append' and not rejected), 0)::bigint as append_duration_us,
+    count(*) filter (op = 'source') as source_queries, coalesce(sum(events) filter (op = 'source'), 0)::bigint as events_sourced, coalesce(sum(duration_us) filter (op = 'source'), 0)::bigint as source_duration_us,
+    count(*) filter (op = 'index_read' and hit) as index_cache_hits, count(*) filter (op = 'index_read' and not hit) as index_cache_misses, count(*) filter (op = 'bloom_check') as bloom_checks, count(*) filter (op = 'bloom_check' and rejected) as bloom_rejections,
+    count(*) filter (op = 'map_read' and hit) as mmap_cache_hits, count(*) filter (op = 'map_read' and not hit) as mmap_cache_misses, count(*) filter (op = 'rotation') as segment_rotations, count(*) filter (op = 'source' and seek) as direct_seek_reads, count(*) filter (op = 'source' and not seek) as sequential_scan_reads from {_STORE_OPS})
+  select *, coalesce(index_cache_hits * 100.0::double / nullif(index_cache_hits + index_cache_misses, 0), 0) as index_cache_hit_rate, coalesce(bloom_rejections * 100.0::double / nullif(bloom_checks, 0), 0) as bloom_rejection_rate,
+    coalesce(mmap_cache_hits * 100.0::double / nullif(mmap_cache_hits + mmap_cache_misses, 0), 0) as mmap_cache_hit_rate, coalesce(direct_seek_reads * 100.0::double / nullif(direct_seek_reads + sequential_scan_reads, 0), 0) as direct_seek_rate from a""")
+def store_counters(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events")
+    kinds = F.array(*map(F.lit, ("append", "source", "index_read", "bloom_check", "map_read", "rotation")))
+    ops = e.select(F.get(kinds, (F.col("user_id") % 6).cast("int")).alias("op"), (F.col("user_id") % 5).alias("events"), (F.col("value") * 10).cast("long").alias("duration_us"), (F.col("event_id") % 3 == 0).alias("hit"), (F.col("event_id") % 11 == 0).alias("rejected"), (F.col("event_id") % 2 == 0).alias("seek"))
+    return report.store_counters(ops)
+
+
+@query("select 'nobody' as key, 0::bigint as sequence, '' as state")
+def snapshot_of_nobody(spark, sf_dir):
+    return snapshots.get_last(_snapshots(spark, sf_dir), "nobody")
+
+
+@query(f"select key, max(sequence) as sequence, arg_max(state, sequence) as state from {_SNAPSHOTS} where key = 'User-8' group by 1")
+def snapshot_stored_last(spark, sf_dir):
+    """From a stored table of snapshots, of which the key's bucket alone is read."""
+    path = written(_snapshots(spark, sf_dir), "snapshots").inputFiles()[0].rsplit("/", 1)[0] + "-stored"
+    snapshots.write(_snapshots(spark, sf_dir), path)
+    return snapshots.get_last(snapshots.read(spark, path, "User-8"), "User-8")
+
+
+@query("select event_id + 1 as position, event_id as row_index from events")
+def scan_with_offsets(spark, sf_dir):
+    return reads.with_offsets(spark, f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("position"), "row_index")
+
+
+@query(f"select {_EVENT} from events where event_type = 'click' and event_id >= (select min(event_id) from events where epoch_us(ts) // 1000 >= 1704200000000)")
+def replay_since_time(spark, sf_dir):
+    return flat(reads.source_since(adapters.activity(spark, sf_dir), Condition.of(Criterion(("click",))), 1704200000000))
+
+
+def _stored_index(spark, sf_dir) -> str:
+    """A folder with the postings of the first half of the segments, as an earlier run left them."""
+    log = adapters.activity(spark, sf_dir)
+    half = (log.agg(F.max("position")).first()[0] or 0) // SEGMENT // 2
+    path = written(log.select("position").limit(1), "index").inputFiles()[0].rsplit("/", 1)[0] + "-postings"
+    postings.write(postings.build(log, SEGMENT).where(F.col("segment") < half), path)
+    return path
+
+
+@query(f"select segment, fkey, count(*) as positions, min(position) as low, max(position) as high from {_POSTINGS} group by all")
+def postings_rebuild(spark, sf_dir):
+    """Stored postings, loaded, and those of the segments that had none."""
+    log, stored = adapters.activity(spark, sf_dir), postings.read(spark, _stored_index(spark, sf_dir))
+    every = stored.unionByName(postings.build(postings.unindexed(log, stored, SEGMENT), SEGMENT))
+    return every.groupBy("segment", "fkey").agg(F.count("*").alias("positions"), F.min("position").alias("low"), F.max("position").alias("high"))
+
+
+@query(f"select {_EVENT} from events where (user_id = 8 or (event_type = 'click' and {_K} = '7')) and event_id // {SEGMENT} < (select max(event_id + 1) // {SEGMENT} // 2 from events)")
+def source_stored_postings(spark, sf_dir):
+    """By a stored index, whose row groups are skipped by their key's range and bloom filter."""
+    stored = postings.read(spark, _stored_index(spark, sf_dir))
+    return flat(postings.source(adapters.activity(spark, sf_dir), stored, Condition.of(_user(8), Criterion.of(("click",), k="7"))))
+
+
+@query("select event_id + 1 as position, event_type as name from events where user_id = 8 and event_id + 1 >= 50")
+def subscription_by_position(spark, sf_dir):
+    """The log appended to a store, and a subscription that starts at a position and ends with what is there."""
+    from .sources.log import Store
+    from .streaming.live import subscribe
+
+    root = written(adapters.activity(spark, sf_dir).limit(1), "store").inputFiles()[0].rsplit("/", 1)[0] + "-contexts"
+    log = Store(spark, root).create("activity")
+    log.append(adapters.activity(spark, sf_dir).drop("context").withColumnRenamed("position", "seq"))
+    rows = subscribe(spark, log.path, Condition.of(_user(8)), 50).select("position", "name")
+    rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cursor").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("position long, name string").parquet(f"{root}/out")

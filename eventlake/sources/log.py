@@ -2,15 +2,18 @@
 
 Data files are written first; then a manifest with the batch's files, positions and number is created under a name that
 must not exist. Readers list manifests, so a batch is there whole or not at all, and the last manifest's position is what
-is committed. An append that loses the race for a number checks its condition again and retries.
+is committed. An append that loses the race for a number checks its condition again and retries; if the winner died before
+its manifest was in place, the loser puts it there. Every CHECKPOINT manifests one file lists all so far.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from ..plans.criteria import Condition
 from ..schema import EVENT
 from .shared import numbered
 
+#: Manifests from one list of them to the next, and seconds after which a lock that names nothing is given up.
+CHECKPOINT, GRACE = 100, 60
 CONTEXT = re.compile(r"[A-Za-z0-9_-]{1,128}")
 
 
@@ -26,6 +31,18 @@ class ContextError(ValueError):
     """A context that is unknown, taken, or badly named."""
 
 
+class ContextNotFound(ContextError):
+    pass
+
+
+class ContextExists(ContextError):
+    pass
+
+
+class InvalidContextName(ContextError):
+    pass
+
+
 class ConsistencyConditionViolated(Exception):
     def __init__(self, position: int):
         super().__init__(f"an event at position {position} conflicts with the append")
@@ -53,9 +70,9 @@ class Store:
 
     def create(self, name: str = "default") -> EventLog:
         if not valid_context(name):
-            raise ContextError(f"not a context name: {name!r}")
+            raise InvalidContextName(f"not a context name: {name!r}")
         if self.exists(name):
-            raise ContextError(f"{name} exists")
+            raise ContextExists(f"{name} exists")
         self._fs.mkdirs(self._path(f"{self.root}/{name}/manifests"))
         return self.open(name)
 
@@ -64,7 +81,7 @@ class Store:
 
     def open(self, name: str = "default") -> EventLog:
         if not self.exists(name):
-            raise ContextError(f"no context {name}")
+            raise ContextNotFound(f"no context {name}")
         return EventLog(self.spark, f"{self.root}/{name}", name)
 
     def names(self) -> list[str]:
@@ -80,9 +97,20 @@ class EventLog:
         self._jpath = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._jpath(f"{self.path}/manifests")))
+
     def manifests(self) -> list[dict]:
-        names = sorted(f.getPath().toString() for f in self._fs.listStatus(self._jpath(f"{self.path}/manifests")))
-        return [json.loads(self._read(n)) for n in names if n.endswith(".json")]
+        """All in order, from the last list of them and those since."""
+        names = self._names()
+        lists = [n for n in names if n.endswith(".list")]
+        found = json.loads(self._read(f"{self.path}/manifests/{lists[-1]}")) if lists else []
+        return found + [json.loads(self._read(f"{self.path}/manifests/{n}")) for n in names if n.endswith(".json") and (not lists or n[:20] > lists[-1][:20])]
+
+    def last(self) -> tuple[int, int]:
+        """Number and position of the last manifest; reads that one alone."""
+        names = [n for n in self._names() if n.endswith(".json")]
+        return (int(names[-1][:20]), json.loads(self._read(f"{self.path}/manifests/{names[-1]}"))["last"]) if names else (0, 0)
 
     def _read(self, name: str) -> str:
         stream = self._fs.open(self._jpath(name))
@@ -92,12 +120,11 @@ class EventLog:
             stream.close()
 
     def committed(self) -> int:
-        found = self.manifests()
-        return found[-1]["last"] if found else 0
+        return self.last()[1]
 
     def read(self, committed: int | None = None) -> DataFrame:
         """All committed events, or those up to a position that was committed."""
-        found = [m for m in self.manifests() if committed is None or m["first"] <= committed]
+        found = [m for m in self.manifests() if m["data"] and (committed is None or m["first"] <= committed)]
         rows = self.spark.read.schema(EVENT).parquet(*[m["data"] for m in found]) if found else self.spark.createDataFrame([], EVENT)
         return rows if committed is None else rows.where(F.col("position") <= committed)
 
@@ -112,44 +139,78 @@ class EventLog:
     def tail(self) -> int:
         return 1 if self.committed() else self.head()
 
-    def append(self, events: DataFrame, condition: Condition | None = None, marker: int = 0, order: list[str] | None = None, retries: int = 20) -> Appended:
+    def append(self, events: DataFrame, condition: Condition | None = None, marker: int = 0, order: list[str] | None = None, retries: int = 20, batch: str | None = None) -> Appended:
         """Appends events (identifier, name, version, timestamp, payload, metadata, tags) in `order`, default: a column
-        `seq`. With a condition, only if no event past the marker matches it; a negative marker never conflicts."""
+        `seq`. With a condition, only if no event past the marker matches it; a negative marker never conflicts. A batch
+        name that was appended before is not appended again."""
         columns = [c.split(" ")[0] for c in EVENT.split(", ")]
         for _ in range(retries):
-            found = self.manifests()
-            committed = found[-1]["last"] if found else 0
+            if batch is not None and (old := next((m for m in self.manifests() if m.get("batch") == batch), None)):
+                return Appended(old["first"], old["last"] - old["first"] + 1, old["last"])
+            number, committed = self.last()
             if condition is not None and marker >= 0 and (at := dcb.conflict(self.read(committed), condition, marker)) is not None:
                 raise ConsistencyConditionViolated(at)
-            n = events.count()
-            if not n:
-                return Appended(committed + 1, 0, committed)
-            number = len(found) + 1
+            number += 1
             data = f"{self.path}/data/{number:020d}-{self.spark._jvm.java.util.UUID.randomUUID().toString()}"
             rows = numbered(events, order or ["seq"], start=committed + 1).withColumn("context", F.lit(self.context))
             rows.select(*columns).write.parquet(data)
-            if self._publish(number, {"first": committed + 1, "last": committed + n, "data": data}):
+            n = self.spark.read.parquet(data).count()  # what is written, not what the events would be if evaluated again
+            if not n:
+                self._fs.delete(self._jpath(data), True)
+                return Appended(committed + 1, 0, committed)
+            if self._publish(number, {"first": committed + 1, "last": committed + n, "data": data} | ({"batch": batch} if batch else {})):
                 return Appended(committed + 1, n, committed + n)
         raise RuntimeError("too many appends at once")
 
-    def _publish(self, number: int, manifest: dict) -> bool:
-        """Creates the manifest; False if there is one of its number. A file is written under another name, then renamed,
-        which on file systems with atomic renames onto nothing shows it whole or not at all."""
-        at, own = self._jpath(f"{self.path}/manifests/{number:020d}.json"), self._jpath(f"{self.path}/pending/{manifest['data'].rsplit('/', 1)[-1]}")
-        out = self._fs.create(own, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        lock = self._jpath(f"{self.path}/locks/{number:020d}")
-        self._fs.mkdirs(lock.getParent())
+    def _write(self, name: str, text: str) -> bool:
+        """False if there is a file of that name."""
         try:
-            self._fs.create(lock, False).close()  # who creates it publishes this number
-        except Exception:
-            self._fs.delete(own, False)
+            out = self._fs.create(self._jpath(name), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or self._fs.exists(self._jpath(name)):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _publish(self, number: int, manifest: dict) -> bool:
+        """Creates the manifest; False if another has its number. It is written under a name of its own first; who creates
+        the lock, which says where it is, owns the number, and whoever finds a lock without a manifest renames it there."""
+        own = f"{self.path}/pending/{number:020d}-{self.spark._jvm.java.util.UUID.randomUUID().toString()}"
+        self._write(own, json.dumps(manifest))
+        if not self._write(f"{self.path}/locks/{number:020d}", own):
+            self._fs.delete(self._jpath(own), False)
+            self._settle(number)
             return False
-        return self._fs.rename(own, at)
+        self._settle(number)
+        return True
+
+    def _settle(self, number: int) -> None:
+        """Puts the manifest in place that the number's lock names. A lock that names none was left by a writer that died in
+        the act; after GRACE seconds an empty manifest takes its number."""
+        at, lock = f"{self.path}/manifests/{number:020d}.json", f"{self.path}/locks/{number:020d}"
+        for _ in range(GRACE * 2):
+            if self._fs.exists(self._jpath(at)):
+                break
+            pending = self._read(lock)
+            if pending:
+                if self._fs.exists(self._jpath(pending)):
+                    self._fs.rename(self._jpath(pending), self._jpath(at))
+                continue
+            if time.time() - self._fs.getFileStatus(self._jpath(lock)).getModificationTime() / 1000 > GRACE:
+                committed = self.last()[1]
+                self._write(at, json.dumps({"first": committed + 1, "last": committed, "data": None}))
+                break
+            time.sleep(0.5)
+        if number % CHECKPOINT == 0:
+            listed, own = f"{self.path}/manifests/{number:020d}.list", f"{self.path}/pending/{self.spark._jvm.java.util.UUID.randomUUID().toString()}"
+            if not self._fs.exists(self._jpath(listed)):
+                self._write(own, json.dumps(self.manifests()[:number]))
+                self._fs.rename(self._jpath(own), self._jpath(listed))
 
     def orphans(self) -> list[str]:
         """Data of appends that were never published."""
         base = self._jpath(f"{self.path}/data")
-        known = {m["data"].rsplit("/", 1)[-1] for m in self.manifests()}
+        known = {m["data"].rsplit("/", 1)[-1] for m in self.manifests() if m["data"]}
         return sorted(f.getPath().toString() for f in self._fs.listStatus(base) if f.getPath().getName() not in known) if self._fs.exists(base) else []

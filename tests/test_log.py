@@ -132,3 +132,54 @@ def test_batch_of_conditions(spark):
         want[c] = min((x for x in (hit, want.get(c)) if x), default=None)
     frame = spark.createDataFrame([(c, m, j, [Tag.of(*t).fkey for t in tags], names) for c, m, j, tags, names in conditions], "cond_id string, marker long, crit_id int, fkeys array<string>, names array<string>")
     assert {x["cond_id"]: x["conflict"] for x in dcb.conflicts(frame, postings.build(log, 64), 64).collect()} == want
+
+
+def test_writer_that_died(spark, tmp_path):
+    """A lock whose owner died before its manifest was in place: the next append finishes that one and takes the next number.
+    One that names nothing is given up."""
+    from eventlake.sources import log as log_module
+
+    log = Store(spark, str(tmp_path / "store")).create("orders")
+    events = lambda *names: spark.createDataFrame([(f"id{i}", n, "1.0", 5, b"p", {}, [], i) for i, n in enumerate(names)], INPUT + ", seq int")
+    log.append(events("A", "B"))
+    settle, log._settle = log._settle, lambda number: None  # dies with the lock, before the rename
+    log.append(events("C"))
+    log._settle = settle
+    assert log.committed() == 2
+    assert log.append(events("D")).first_position == 4 and sorted(r["name"] for r in log.read().collect()) == ["A", "B", "C", "D"]
+    assert log._write(f"{log.path}/locks/{4:020d}", "")  # dies while it makes the lock
+    log_module.GRACE, grace = 1, log_module.GRACE
+    try:
+        assert log.append(events("E")).first_position == 5
+    finally:
+        log_module.GRACE = grace
+    assert log.head() == 6 and sorted(found(log.read())) == [1, 2, 3, 4, 5]
+
+
+def test_lists_of_manifests_and_group_commit(spark, tmp_path, monkeypatch):
+    from eventlake.sources import log as log_module
+    from eventlake.streaming.append import append_stream
+    from eventlake.streaming.live import subscribe
+
+    monkeypatch.setattr(log_module, "CHECKPOINT", 2)
+    log = Store(spark, str(tmp_path / "store")).create("orders")
+    schema = INPUT + ", seq int"
+    for k in range(3):
+        spark.createDataFrame([(f"id{k}{i}", "E", "1.0", 5, b"p", {}, [], i) for i in range(4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: append_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), log, str(tmp_path / "seen")).awaitTermination()
+    stream()
+    stream()  # nothing new
+    assert (log.head(), len(log.manifests())) == (13, 3) and any(n.endswith(".list") for n in log._names())
+    assert sorted(found(log.read())) == list(range(1, 13)) and found(log.read(8).orderBy("position")) == list(range(1, 9))
+    first = spark.createDataFrame([("again", "E", "1.0", 5, b"p", {}, [], 0)], schema)
+    assert log.append(first, batch=f"{tmp_path / 'seen'}#0").consistency_marker == 4  # a batch run again
+    subscribe(spark, log.path, Condition.of(Criterion()), 6).select("position").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cursor")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(found(spark.read.schema("position long").parquet(str(tmp_path / "out")))) == list(range(6, 13))
+
+
+def test_status_of_errors():
+    from eventlake.functions.errors import Corrupted, SnapshotNotFound, status
+    from eventlake.sources.log import ContextExists, ContextNotFound, InvalidContextName
+
+    assert [status(e)[0] for e in (ConsistencyConditionViolated(7), Corrupted("x"), ContextNotFound("x"), SnapshotNotFound("k"), ContextExists("x"), InvalidContextName("x"), OSError("x"), ValueError("x"))] == ["ABORTED", "INTERNAL", "NOT_FOUND", "NOT_FOUND", "ALREADY_EXISTS", "INVALID_ARGUMENT", "INTERNAL", "UNKNOWN"]
+    assert "position 7" in status(ConsistencyConditionViolated(7))[1]
