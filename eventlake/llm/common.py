@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one call of a batch function gets at most, unless a single text is longer.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -23,6 +23,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+#: What empties the tables that an operator keeps in a worker, for the next operator to call.
+caches: list[Callable] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +95,8 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | I
     """mapInArrow in slices whose `column` holds at most `limit` bytes, so memory does not follow the session's batch size."""
 
     def run(batches):
+        for clear in caches:
+            clear()
         for batch in batches:
             for piece in sliced(batch, column, limit):
                 made = work(piece)
@@ -157,7 +161,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), x, np.uint64)])) for x in (_ODD, _ODD_INVERSE)]
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 19), x, np.uint64)])) for x in (_ODD, _ODD_INVERSE)]
     return _powers[0], _powers[1]
 
 

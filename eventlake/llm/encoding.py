@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import flat, lower, spans, white
+from .common import caches, flat, hashed, lower, spans, white
 
 #: Pieces, and runs, kept by a worker.
-KEPT = 600_000
+KEPT = 300_000
 #: Runs of letters encoded as one text.
 TOGETHER = 500
 _encoders: dict = {}
+caches.append(_encoders.clear)
 
 # kinds of bytes: 0 others, 1 letters, 2 digits, 3 white; bytes beyond ASCII are told by their neighbours
 _KIND = np.zeros(256, np.uint8)
@@ -109,33 +110,60 @@ def runs_of(buf: np.ndarray, off: np.ndarray, word_level: bool) -> tuple[np.ndar
 
 
 class _Table:
-    """Ids of strings, end to end."""
+    """Strings and their ids, each end to end in arrays; found by a hash, then compared byte by byte."""
 
     def __init__(self, dtype: str):
         self.dtype = dtype
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.used = {}, 0
-        self.ids, self.start, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, strings_: list[str], ids: np.ndarray, length: np.ndarray) -> np.ndarray:
-        n, m = len(self.index), len(strings_)
-        while n + m > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.length[n : n + m] = length
-        self.start[n : n + m] = self.used + np.cumsum(length) - length
-        self.used += len(ids)
-        self.index.update(zip(strings_, range(n, n + m), strict=True))
-        return np.arange(n, n + m)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of hash
+        self.parts = {"bytes": np.zeros(1 << 16, np.uint8), "ids": np.zeros(1 << 16, self.dtype)}
+        self.used = {"bytes": 0, "ids": 0}
+        self.starts = {k: np.zeros(1 << 14, np.int64) for k in self.parts}
+        self.lengths = {k: np.zeros(1 << 14, np.int32) for k in self.parts}
+
+    def _put(self, part: str, values: np.ndarray, length: np.ndarray) -> None:
+        n, m, used = len(self.keys), len(length), self.used[part]
+        while n + m > len(self.starts[part]):
+            for held in (self.starts, self.lengths):
+                held[part] = np.concatenate([held[part], np.zeros_like(held[part])])
+        while used + len(values) > len(self.parts[part]):
+            self.parts[part] = np.concatenate([self.parts[part], np.zeros_like(self.parts[part])])
+        self.parts[part][used : used + len(values)] = values
+        self.lengths[part][n : n + m] = length
+        self.starts[part][n : n + m] = used + np.cumsum(length) - length
+        self.used[part] = used + len(values)
+
+    def find(self, buf: np.ndarray, off: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of each string its place, -1 where it isn't here."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int64)
+        near = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at, size = self.slot[near], np.diff(off)
+        same = (self.keys[near] == h) & (self.lengths["bytes"][at] == size)
+        rows = np.flatnonzero(same)
+        length = size[rows]
+        nth = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        differ = self.parts["bytes"][np.repeat(self.starts["bytes"][at[rows]], length) + nth] != buf[np.repeat(off[rows], length) + nth]
+        same[rows[np.bincount(np.repeat(np.arange(len(rows)), length)[differ], minlength=len(rows)) > 0]] = False
+        return np.where(same, at, -1)
+
+    def add(self, strings_: pa.Array, h: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        n, m = len(self.keys), len(h)
+        buf, off = flat(strings_)
+        self._put("bytes", buf, np.diff(off))
+        self._put("ids", ids, length)
+        at = np.arange(n, n + m)
+        keys, slot = np.concatenate([self.keys, h]), np.concatenate([self.slot, at])
+        order = np.argsort(keys, kind="stable")  # of strings that share a hash the first is found, the others are new each time
+        self.keys, self.slot = keys[order], slot[order]
+        return at
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length = self.length[at]
-        shift = self.start[at] - (np.cumsum(length) - length)
-        return self.ids[np.repeat(shift, length) + np.arange(int(length.sum()))], length
+        length = self.lengths["ids"][at].astype(np.int64)
+        shift = self.starts["ids"][at] - (np.cumsum(length) - length)
+        return self.parts["ids"][np.repeat(shift, length) + np.arange(int(length.sum()))], length
 
 
 def _sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,15 +195,23 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._dtype)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in made for i in ids], self._dtype), np.array([len(ids) for ids in made], np.int64)
+        ids, lengths = [np.zeros(0, self._dtype)], [np.zeros(0, np.int64)]
+        for one in self._encoded(texts, TOGETHER):
+            ids.append(one)
+            lengths.append(np.array([len(one)], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _encoded(self, texts: list[str], at_once: int):
+        """The ids of each text; the library's own objects are of few texts at a time."""
+        for i in range(0, len(texts), at_once):
+            for one in self._tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.array(one.ids, self._dtype)
 
     def _joined(self, runs: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
         """As _each, of runs of letters: many go in a text, parted by the ids at their edges or by line breaks."""
         groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
         ids, lengths = [np.zeros(0, self._dtype)], [np.zeros(0, np.int64)]
-        for group, one in zip(groups, self._tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            made = np.array(one.ids, np.int64)
+        for group, made in zip(groups, self._encoded([between.join(g) for g in groups], 8), strict=True):
             if between == "\n":
                 edges = np.concatenate([[-1], np.flatnonzero(made == self._break), [len(made)]])
                 length, made = np.diff(edges) - 1, made[made != self._break]
@@ -185,46 +221,48 @@ class Encoder:
                 length = np.diff(np.append(np.flatnonzero(self._edge[made]), len(made)))
             if len(length) != len(group) or length.sum() != len(made):
                 made, length = self._each(group)
-            ids.append(made.astype(self._dtype))
+            ids.append(made)
             lengths.append(length)
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _codes(self, table: _Table, buf: np.ndarray, off: np.ndarray, learn) -> np.ndarray:
         """Of each string its place in the table."""
         coded = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-        distinct, get = coded.dictionary.to_pylist(), table.index.get
-        at = np.array([get(s, -1) for s in distinct], np.int64)
+        distinct, ends = flat(coded.dictionary)
+        h = hashed(distinct, ends[:-1], ends[1:])
+        at = table.find(distinct, ends, h)
         new = np.flatnonzero(at < 0)
         if len(new):
-            at[new] = learn(coded.dictionary.take(pa.array(new)), [distinct[i] for i in new.tolist()])
+            at[new] = learn(coded.dictionary.take(pa.array(new)), h[new])
         return at[np.asarray(coded.indices)]
 
-    def _learn_runs(self, _, runs: list[str]) -> np.ndarray:
-        at = np.zeros(len(runs), np.int64)
+    def _learn_runs(self, new: pa.Array, h: np.ndarray) -> np.ndarray:
+        runs = new.to_pylist()
         letters = np.array([r[-1].isalpha() for r in runs], bool)
         spaced = np.array([r[0] == " " for r in runs], bool) | self._word_level
+        rows, made = [], []
         for some, make in ((letters & spaced, lambda x: self._joined(x, " " if self._word_level else "")), (letters & ~spaced, lambda x: self._joined(x, "\n")), (~letters, self._each)):
-            rows = np.flatnonzero(some)
-            own = [runs[i] for i in rows.tolist()]
-            at[rows] = self._runs.add(own, *make(own))
+            rows.append(np.flatnonzero(some))
+            made.append(make([runs[i] for i in rows[-1].tolist()]))
+        order, at = np.concatenate(rows), np.zeros(len(runs), np.int64)
+        at[order] = self._runs.add(new.take(pa.array(order)), h[order], *map(np.concatenate, zip(*made, strict=True)))
         return at
 
-    def _learn(self, new: pa.Array, pieces: list[str]) -> np.ndarray:
-        if len(self._runs.index) > KEPT:
+    def _learn(self, new: pa.Array, h: np.ndarray) -> np.ndarray:
+        if len(self._runs.keys) > KEPT:
             self._runs.clear()
         buf, off = flat(new)
         edges, count, bad = runs_of(buf, off, self._word_level)
         row = np.repeat(bad, np.diff(off))
         ids, length = self._runs.gather(self._codes(self._runs, buf[~row], edges, self._learn_runs))
-        at = np.zeros(len(pieces), np.int64)
         plain, odd = np.flatnonzero(~bad), np.flatnonzero(bad)
-        at[plain] = self._pieces.add([pieces[i] for i in plain.tolist()], ids, _sums(length, count[plain]))
-        alone = [pieces[i] for i in odd.tolist()]
-        at[odd] = self._pieces.add(alone, *self._each(alone))
+        odd_ids, odd_length = self._each(new.take(pa.array(odd)).to_pylist())
+        order, at = np.concatenate([plain, odd]), np.zeros(len(new), np.int64)
+        at[order] = self._pieces.add(new.take(pa.array(order)), h[order], np.concatenate([ids, odd_ids]), np.concatenate([_sums(length, count[plain]), odd_length]))
         return at
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._pieces.index) > KEPT:
+        if len(self._pieces.keys) > KEPT:
             self._pieces.clear()
         buf, off = flat(column)
         whole = self._whole(column, buf, off)

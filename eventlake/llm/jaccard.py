@@ -37,7 +37,7 @@ from .suffixes import BUCKET, bit_table, in_table, later, records_of, splitters_
 SHINGLE, PERCENT = 4, 85
 #: Sets of a bucket that are compared at once, about; more are dealt to blocks.
 BLOCK = 2048
-STEP = 2 << 20
+STEP = 1 << 19
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
