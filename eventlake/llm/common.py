@@ -91,12 +91,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forget() -> None:
+    """Empties what other operators keep in this worker."""
+    for clear in caches:
+        clear()
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow in slices whose `column` holds at most `limit` bytes, so memory does not follow the session's batch size."""
 
     def run(batches):
-        for clear in caches:
-            clear()
+        forget()
         for batch in batches:
             for piece in sliced(batch, column, limit):
                 made = work(piece)
