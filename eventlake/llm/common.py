@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.partition("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir is not set: driver and executors share no folder")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventlake-"))
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()

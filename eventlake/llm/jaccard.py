@@ -476,3 +476,19 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(texts_of(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same by SQL, from all pairs of documents that share an n-gram: for small tables.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select doc_id as d, doc_id as other from n
+      union select r.d, case when l.a = r.other then l.b else l.a end from r join l on l.a = r.other or l.b = r.other),
+m as (select d, min(other) as least from r group by 1)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join m on m.d = w.doc_id
+"""

@@ -194,3 +194,43 @@ def test_pipeline(spark):
         assert made.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage on all that its predecessor kept."""
+    import corpus_pipeline
+    from eventlake.llm import mixing, packing, pii, toxicity
+    from eventlake.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, sf, "documents")
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    model = toxicity.fit(texts_of(docs), table(spark, sf, "labels"))
+    toxic = {r["doc_id"] for r in toxicity.score(texts_of(docs), model).where("predicted = 1").collect()}
+    clean = stages["toxicity"](spark, docs, sf)
+    assert text(clean) == {d: t for d, t in text(docs).items() if d not in toxic}
+    kept = stages["near_duplicates"](spark, clean, sf)
+    label = {d: c for d, _, c in linked(sorted(text(clean).items()), 5, 80)}
+    assert text(kept) == {d: t for d, t in text(clean).items() if label[d] == d}
+    plain = stages["personal_data"](spark, kept, sf)
+    before, after = text(kept), text(plain)
+    found = dict(zip(before, pii.spans([t or "" for t in before.values()], *pii.fit())))
+    assert after == {d: t if t is None else pii.blacked(t, found[d][1]) for d, t in before.items()}
+    assert not any(pii.base(t or "") for t in after.values())
+    mixed = stages["mixing"](spark, plain, sf)
+    want = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.weigh(plain).collect() if r["size"]}
+    got = collections.Counter(r["doc_id"] for r in mixed.where("length(trim(text)) > 0").collect())
+    assert {d: n for d, n in got.items() if d in want} == {d: n for d, n in want.items() if n}
+    rows = stages["packing"](spark, mixed, sf).collect()
+    pieces = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(texts_of(mixed)).collect())
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces
+    full = collections.defaultdict(list)
+    for r in rows:
+        full[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in full.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048
