@@ -16,6 +16,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not folder:
         sc = spark.sparkContext
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if sc.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir is not set: driver and executors share no folder")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="eventlake-"))
         folder = sc._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
