@@ -26,10 +26,10 @@ def build(log: DataFrame, size: int = SEGMENT) -> DataFrame:
     return log.select(segment_of(F.col("position"), size).alias("segment"), F.explode(keys).alias("fkey"), "position", "name")
 
 
-def write(postings: DataFrame, path: str, distinct: int = 1 << 20) -> None:
+def write(postings: DataFrame, path: str, distinct: int = 1 << 20, mode: str = "errorifexists") -> None:
     """Sorted by key, with a bloom filter on it, so that a read of one key skips the other row groups."""
     w = postings.repartitionByRange("segment", "fkey").sortWithinPartitions("segment", "fkey", "position").write
-    w.option("parquet.bloom.filter.enabled#fkey", "true").option("parquet.enable.dictionary#fkey", "false").option("parquet.bloom.filter.expected.ndv#fkey", str(distinct)).partitionBy("segment").parquet(path)
+    w.option("parquet.bloom.filter.enabled#fkey", "true").option("parquet.enable.dictionary#fkey", "false").option("parquet.bloom.filter.expected.ndv#fkey", str(distinct)).partitionBy("segment").mode(mode).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

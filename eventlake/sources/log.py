@@ -17,9 +17,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dcb, reads
+from ..operators import dcb, postings, reads
 from ..plans.criteria import Condition
-from ..schema import EVENT
+from ..schema import EVENT, SEGMENT
 from .shared import numbered
 
 #: Manifests from one list of them to the next, and seconds after which a lock that names nothing is given up.
@@ -133,6 +133,25 @@ class EventLog:
         marker = self.committed()
         return reads.source(self.read(marker), condition, start, marker), marker
 
+    def seal(self, size: int = SEGMENT) -> int:
+        """Writes the postings of full segments that have none yet; returns how many segments there were. Run by one job at a
+        time, as a compaction."""
+        full, log = self.committed() // size, self.read()
+        have = self._sealed()
+        new = postings.build(log.where(F.col("position") <= full * size) if have is None else postings.unindexed(log.where(F.col("position") <= full * size), have, size), size)
+        sealed = new.select("segment").distinct().count()
+        if sealed:
+            postings.write(new, f"{self.path}/postings", mode="append")
+        return sealed
+
+    def _sealed(self) -> DataFrame | None:
+        return postings.read(self.spark, f"{self.path}/postings") if self._fs.exists(self._jpath(f"{self.path}/postings")) else None
+
+    def postings(self, size: int = SEGMENT) -> DataFrame:
+        """The stored postings, and those of segments that aren't sealed, from the events."""
+        have, log = self._sealed(), self.read()
+        return postings.build(log, size) if have is None else have.unionByName(postings.build(postings.unindexed(log, have, size), size))
+
     def head(self) -> int:
         return self.committed() + 1
 

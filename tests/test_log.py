@@ -183,3 +183,41 @@ def test_status_of_errors():
 
     assert [status(e)[0] for e in (ConsistencyConditionViolated(7), Corrupted("x"), ContextNotFound("x"), SnapshotNotFound("k"), ContextExists("x"), InvalidContextName("x"), OSError("x"), ValueError("x"))] == ["ABORTED", "INTERNAL", "NOT_FOUND", "NOT_FOUND", "ALREADY_EXISTS", "INVALID_ARGUMENT", "INTERNAL", "UNKNOWN"]
     assert "position 7" in status(ConsistencyConditionViolated(7))[1]
+
+
+def test_sealed_segments(spark, tmp_path):
+    log = Store(spark, str(tmp_path / "store")).create("orders")
+    events = lambda n: spark.createDataFrame([(f"id{i}", "E" if i % 2 else "F", "1.0", 5, b"p", {}, tags(k=str(i % 3)), i) for i in range(n)], INPUT + ", seq int")
+    log.append(events(25))
+    assert log.seal(10) == 2 and log.seal(10) == 0
+    log.append(events(10))
+    every = lambda p: sorted((r["segment"], r["fkey"], r["position"]) for r in p.collect())
+    assert every(log.postings(10)) == every(postings.build(log.read(), 10))
+    assert log.seal(10) == 1 and every(log.postings(10)) == every(postings.build(log.read(), 10))
+    c = Condition.of(Criterion.of(("E",), k="1"))
+    assert sorted(found(postings.source(log.read(), log.postings(10), c))) == sorted(found(reads.source(log.read(), c)))
+
+
+def test_life_cycles(spark):
+    """Second registrations, permits that run out and come again, a client that goes and comes back, permits in order."""
+    from eventlake.operators import bus, registry, snapshots
+
+    ops = [(1, "register", "T", "a"), (2, "register", "T", "a"), (3, "register", "U", "a"), (4, "register", "T", "b"), (5, "unregister", "T", "a"), (6, "remove_client", None, "b"), (7, "register", "T", "b"), (8, "unregister", "X", "zz")]
+    log = spark.createDataFrame([(*o, "c", 1) for o in ops], "seq int, op string, message_type string, client_id string, component_name string, load_factor int")
+    assert sorted((r["message_type"], r["client_id"], r["reg_seq"]) for r in registry.handlers(log).collect()) == [("T", "b", 7), ("U", "a", 3)]
+    moves = [("a", "acquire", 0, 1), ("a", "grant", 2, 2), ("a", "acquire", 0, 3), ("a", "acquire", 0, 4), ("a", "acquire", 0, 5), ("a", "grant", 1, 6), ("a", "acquire", 0, 7), ("b", "acquire", 0, 8)]
+    got = registry.permits(spark.createDataFrame(moves, "client_id string, op string, permits long, seq int"), ["client_id"]).collect()
+    assert sorted((r["seq"], r["acquired"], r["left"]) for r in got) == [(1, False, 0), (3, True, 1), (4, True, 0), (5, False, 0), (7, True, 0), (8, False, 0)]
+    handlers = spark.createDataFrame([("T", "a", 1, 1), ("T", "b", 1, 2)], "message_type string, client_id string, load_factor int, reg_seq int")
+    grants = spark.createDataFrame([("a", 1, 0), ("b", 1, 0), ("b", 1, 5)], "client_id string, permits long, arrival long")
+    asked = spark.createDataFrame([(i, "T") for i in range(1, 7)] + [(7, "none")], "arrival long, name string")
+    rows = lambda df: sorted((r["arrival"], r["outcome"], r["client_id"]) for r in df.collect())
+    none = [(i, "NO_PERMITS", "") for i in (3, 4)] + [(5, "DISPATCHED", "b"), (6, "NO_PERMITS", ""), (7, "NO_HANDLER", "")]
+    assert rows(bus.first_with_permit(asked, handlers, grants)) == sorted([(1, "DISPATCHED", "a"), (2, "DISPATCHED", "b"), *none])
+    assert rows(bus.scatter_with_permits(asked, handlers, grants)) == sorted([(1, "DISPATCHED", "a"), (1, "DISPATCHED", "b"), (2, "NO_PERMITS", ""), *none])
+    store = spark.createDataFrame([("k", 10, "x"), ("k", 50, "y")], "key string, sequence long, state string")
+    assert [tuple(snapshots.get_last(store, k).first()) for k in ("k", "none")] == [("k", 50, "y"), ("none", 0, "")]
+    subscribed = [(1, "open", "s1", "a", "h"), (2, "open", "s2", "b", "h"), (3, "open", "s3", "a", "i"), (4, "cancel", "s3", None, None), (5, "remove_client", None, "b", None), (6, "open", "s3", "c", "b")]
+    active = registry.subscriptions(spark.createDataFrame([(*o, 1000 * o[0]) for o in subscribed], "seq int, op string, subscription_id string, client_id string, handler_client_id string, at long"))
+    assert sorted((r["subscription_id"], r["opened_at"]) for r in active.collect()) == [("s1", 1000), ("s3", 6000)]
+    assert tuple(registry.subscription_stats(active, F.lit(9000)).first()) == (2, 8)
