@@ -3,6 +3,7 @@ word and hash arithmetic over UTF-8 buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -23,6 +24,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+_LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, 1 << 20)  # glibc gives arrays of a megabyte back when they are freed, whatever was freed before
 #: What empties the tables that an operator keeps in a worker, for the next operator to call.
 caches: list[Callable] = []
 
@@ -95,6 +99,14 @@ def forget() -> None:
     """Empties what other operators keep in this worker."""
     for clear in caches:
         clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives what is free back to the system: workers stay after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
@@ -109,6 +121,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | I
                     yield made
                 else:
                     yield from made
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sliced, table, texts_of, written
+from .common import sliced, table, texts_of, trim, written
 from .encoding import encoder, with_end
 
 CAPACITY = 2048
@@ -158,6 +158,7 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, capacity:
             rank[order] = seen[ordered] + np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
             seen += np.bincount(lengths, minlength=capacity + 1)
             yield pa.record_batch([batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.full(len(rows), part, np.int64)), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
 

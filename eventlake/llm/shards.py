@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, parts, shared_path, sliced, table, texts_of
+from .common import mixed, parts, shared_path, sliced, table, texts_of, trim
 from .encoding import encoder, with_end
 
 MAGIC = b"IDSH0001"
@@ -171,6 +171,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
                 shard, number = None, number + 1
         if shard is not None:
             yield finished(name, shard, ids, null, lengths, number)
+        trim()
 
     def finished(name, shard, ids, null, lengths, number):
         from pyspark import TaskContext
