@@ -25,8 +25,6 @@ _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
 _LIBC = ctypes.CDLL(None)
-if hasattr(_LIBC, "mallopt"):
-    _LIBC.mallopt(-3, 1 << 20)  # glibc gives arrays of a megabyte back when they are freed, whatever was freed before
 #: What empties the tables that an operator keeps in a worker, for the next operator to call.
 caches: list[Callable] = []
 
@@ -102,6 +100,12 @@ def forget() -> None:
     trim()
 
 
+def steady() -> None:
+    """From now on glibc gives arrays of a megabyte back when they are freed, which costs page faults."""
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(-3, 1 << 20)
+
+
 def trim() -> None:
     """Gives what is free back to the system: workers stay after a task, beside those of later stages."""
     pa.default_memory_pool().release_unused()

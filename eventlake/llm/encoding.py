@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import caches, flat, hashed, lower, spans, white
+from .common import caches, flat, hashed, lower, spans, steady, white
 
 #: Pieces, and runs, kept by a worker.
 KEPT = 300_000
@@ -308,6 +308,7 @@ def encoder(name: str, dtype: str, word_level: bool) -> Encoder:
     """One for each vocabulary in a worker. name: of public_tokenizers, or a path."""
     key = (name, dtype, word_level)
     if key not in _encoders:
+        steady()
         if os.path.isabs(name):
             path = name
         else:
