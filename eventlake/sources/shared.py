@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,18 @@ def numbered(df: DataFrame, by: list, column: str = "position", start: int = 1,
         base += size
     starts = df.sparkSession.createDataFrame(starts or [(0, start)], "__of int, __base long")
     return rows.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(column, F.col("__base") + F.col("__row")).drop("__part", "__row", "__of", "__base")
+
+
+def counted(df: DataFrame, by: list, what: Column, column: str) -> DataFrame:
+    """df with how many rows that are `what` come before each in order of `by`, in parts as in numbered."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    rows = written(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "counted")
+    base, starts = 0, []
+    for part, size in sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(F.count_if(what).alias("n")).collect()):  # a row for each partition
+        starts.append((part, base))
+        base += size
+    starts = df.sparkSession.createDataFrame(starts, "__of int, __base long")
+    before = F.count_if(what).over(W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, -1))
+    own = rows.withColumn(column, before)
+    return own.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(column, F.col(column) + F.col("__base")).drop("__part", "__row", "__of", "__base")
